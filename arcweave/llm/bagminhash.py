@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 from arcweave.llm import textnum, util
 
 GRAM = 2
-BANDS = 32
-ROWS = 5
+BANDS = 40
+ROWS = 4
 SIMILAR = 0.5
 SLACK = 0.15
 U = textnum.U
