@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 WORLD = 1 << 16
 TILE_PX = 1024
-GOLDEN = (math.sqrt(5) - 1) / 2
+GOLDEN = 0.618033988749895
 
 
 def cell(v: Column, width: Column | float) -> Column:

@@ -62,7 +62,7 @@ def resolve_redirects(redirects: DataFrame, hops: int = HOPS) -> DataFrame:
     hop is a join on the short table of redirects; chains that have ended drop out of the later ones."""
     step = redirects.select(F.col("alias").alias("from"), F.col("target").alias("to")).where("from <> to")
     step = step.groupBy("from").agg(F.max("to").alias("to"))
-    out = redirects.select("alias", "target")
+    out = redirects.groupBy("alias").agg(F.max("target").alias("target"))
     for _ in range(hops - 1):
         out = out.join(step, out["target"] == step["from"], "left").select("alias", F.coalesce("to", "target").alias("target"))
     return out
