@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as titles know it: Unicode's, and the four ASCII separators.
 BLANK = r"[\s\x1c-\x1f]"
@@ -24,7 +25,7 @@ def normalize_title(c: Column) -> Column:
     return F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -104,7 +105,7 @@ def osa(a: str, b: str, most: int) -> bool:
     return one[-1] <= most
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _within(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa(x, y, int(m)) for x, y, m in zip(a, b, most)])
 

@@ -435,11 +435,12 @@ cut AS (SELECT *, list_filter(regexp_split_to_array({_FOLD.format("value")}, '[^
 vals AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, words ORDER BY value_no) AS turn FROM cut) WHERE value_no = 0 OR (turn = 1 AND len(words) > 0)),
 post AS (SELECT id, value_no, unnest(words) AS term, unnest(range(len(words))) AS pos FROM vals),
 voc AS (SELECT term, count(DISTINCT id) AS df FROM post GROUP BY term)"""
+_LOG = "least(greatest((ln(greatest(imp, 1e-12)) - lo) / greatest(hi - lo, 1e-9), 0), 1)"
 _I = f"""WITH docs AS ({A.TITLES_SQL}), l AS (SELECT min(ln(greatest(imp, 1e-12))) AS lo, max(ln(greatest(imp, 1e-12))) AS hi FROM docs)
-SELECT id, round(least(greatest((ln(greatest(imp, 1e-12)) - lo) / greatest(hi - lo, 1e-9), 0), 1), 6) AS imp FROM docs, l"""
+SELECT id, {_LOG} AS imp FROM docs, l"""
 
 
-@query(_I)
+@query(_I.replace(_LOG, f"round({_LOG}, 6)"))
 def importance_norm(spark: SparkSession, d: str) -> DataFrame:
     return search.importance(A.titles(spark, d)).select("id", F.round("imp", 6).alias("imp"))
 
@@ -481,7 +482,7 @@ _RAW = _D + _SIZE + f""", raw AS (SELECT id, {_FOLD.format("value")} AS raw FROM
 
 
 def _name_sql(text: str, exact: float, starts: float) -> str:
-    return f"""SELECT id, {starts} + CASE WHEN tf > 0 THEN {exact} * {_BM.format(df="df", tf="tf", len="names", mean="mean.names")} ELSE 0 END AS score
+    return f"""SELECT id, {starts} + CASE WHEN tf > 0 THEN {exact} * {_BM.format(df="df", tf="tf", len="nam.names", mean="mean.names")} ELSE 0 END AS score
     FROM (SELECT id, count(*) FILTER (raw = '{text}') AS tf FROM raw WHERE starts_with(raw, '{text}') GROUP BY id) h JOIN nam USING (id), size, mean, (SELECT count(DISTINCT id) AS df FROM raw WHERE raw = '{text}') x"""
 
 
@@ -504,11 +505,7 @@ _TOP = " ORDER BY score * (1 + 4 * i.imp) DESC, id LIMIT {}"
 
 @query(_RAW + _tweaked(_name_sql("b", 1000, 1)))
 def one_char_query(spark: SparkSession, d: str) -> DataFrame:
-    return search.scores(search.build(_coarse(A.titles(spark, d))), "b").select("id", F.round("score", 4).alias("score"))
-
-
-def _coarse(docs: DataFrame) -> DataFrame:
-    return docs
+    return search.scores(search.build(A.titles(spark, d)), "b").select("id", F.round("score", 4).alias("score"))
 
 
 @query(_RAW + f""", w0 AS (SELECT id, {_BM.format(df="df", tf="tf", len="len.words", mean="mean.words")} * (tf > 0)::INTEGER + fuzzy AS score
