@@ -29,9 +29,9 @@ def parse_pages(pages: DataFrame, page: str = "page") -> DataFrame:
     """(title, body) of articles: namespace 0, with a title and a text; entities decoded, citations and the tail of the
     page from the first reference-like heading on cut off."""
     p = F.col(page)
-    whole = r"(?s)<text[^>]*>(.*?)</text>"
-    kept = pages.where((F.regexp_extract(p, r"<ns>(\d+)</ns>", 1) == "0") & p.rlike(r"<title>[^<]*</title>") & p.rlike(whole))
-    kept = kept.select(X.normalize_title(X.decode_entities(F.regexp_extract(p, r"<title>([^<]*)</title>", 1))).alias("title"), X.decode_entities(F.regexp_extract(p, whole, 1)).alias("body"))
+    whole = r"(?s)<text(?:[^>]*)>(.*?)</text>"
+    kept = pages.where((F.regexp_extract(p, r"<ns>([0-9]+)</ns>", 1) == "0") & p.rlike(r"<title>[^<]*</title>") & p.rlike(whole))
+    kept = kept.select(X.normalize_title(X.decode_entities(F.regexp_extract(p, r"(?<=<title>)[^<]*(?=</title>)", 0))).alias("title"), X.decode_entities(F.regexp_extract(p, whole, 1)).alias("body"))
     return kept.withColumn("body", F.regexp_replace(F.regexp_replace("body", f"(?s){CITATION}", ""), f"(?siuU){TAIL}", ""))
 
 

@@ -19,13 +19,6 @@ def rank(nodes: DataFrame) -> DataFrame:
     return extract.dense_ids(keyed, "_down", "id", name="pr", start=1).select("id", "pr")
 
 
-def _sided(edges: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
-    """(id, neighbour's columns) over all edges of that side."""
-    own, other = SIDES[side]
-    n = nodes.select(F.col("id").alias(other), F.col("id").alias("nid"), F.col("title").alias("nt"), *[geometry.half_even(F.col(c)).alias(a) for c, a in (("x", "nx"), ("y", "ny"), ("radius", "nr"))], F.col("partition").alias("ncl"), F.col("pagerank").alias("npr"))
-    return edges.join(n, other).select(F.col(own).alias("id"), "nid", "nt", "nx", "ny", "nr", "ncl", "npr")
-
-
 def histogram(edges: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     """(id, ncl, count) of neighbours' clusters, over all edges."""
     own, other = SIDES[side]
@@ -49,7 +42,7 @@ def _side(edges: DataFrame, nodes: DataFrame, side: str, cap: int) -> DataFrame:
     held = histogram(edges, nodes, side).groupBy("id").agg(F.sum("count").alias(count), by_size.alias(hist))
     attrs = nodes.select(F.col("id").alias("nid"), F.col("title").alias("nt"), *[geometry.half_even(F.col(c)).alias(a) for c, a in (("x", "nx"), ("y", "ny"), ("radius", "nr"))], F.col("partition").alias("ncl"))
     top = top_neighbours(edges, nodes, side, cap).join(attrs, "nid")
-    inner = F.struct("nid", "nt", "nx", "ny", "nr", "ncl").alias("n")
+    inner = F.struct(*"nid nt nx ny nr ncl".split()).alias("n")
     top = top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", inner))), lambda s: s["n"]).alias(name))
     return held.join(top, "id")
 
@@ -59,7 +52,7 @@ def records(nodes: DataFrame, edges: DataFrame, cap: int = CAP) -> DataFrame:
     base = nodes.join(rank(nodes), "id").select("id", F.col("title").alias("t"), *[geometry.half_even(F.col(c)).alias(c) for c in ("x", "y", "radius")], F.col("partition").alias("cl"), "pr")
     both = base.join(_side(edges, nodes, "out", cap), "id", "left").join(_side(edges, nodes, "in", cap), "id", "left")
     zero = F.lit(0).cast("bigint")
-    return both.select("id", "t", "x", "y", "radius", "cl", "pr", F.coalesce("no", zero).alias("no"), F.coalesce("ni", zero).alias("ni"), "ob", "ib", "out", "inn")
+    return both.select(*"id t x y radius cl pr".split(), F.coalesce("no", zero).alias("no"), F.coalesce("ni", zero).alias("ni"), "ob", "ib", "out", "inn")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -82,4 +75,4 @@ def search_documents(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def enrich(nodes: DataFrame, pagerank: DataFrame, communities: DataFrame, layout: DataFrame) -> DataFrame:
     """(id, title, pagerank, partition, x, y, radius) of nodes that all three tables hold; isolated ones are in none."""
-    return nodes.join(pagerank, "id").join(communities, "id").join(layout, "id").select("id", "title", "pagerank", "partition", "x", "y", "radius")
+    return nodes.join(pagerank, "id").join(communities, "id").join(layout, "id").select(*"id title pagerank partition x y radius".split())

@@ -132,7 +132,6 @@ def phrase_scores(index: Index, tokens: list[str]) -> DataFrame:
 
 def name_scores(index: Index, raw: str, exact: float = EXACT, starts: float = STARTS) -> DataFrame:
     """(id, score) of the documents with a name that is, or begins with, the whole query."""
-    # substr(1, len) = literal is what startswith means; written so that the reader can push it down
     hit = index.values.where(F.col("raw").startswith(raw))
     per = hit.groupBy("id").agg(F.count_if(F.col("raw") == raw).alias("tf"))
     df = per.agg(F.count_if(F.col("tf") > 0).alias("df"))

@@ -7,7 +7,7 @@ import json
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,16 +68,15 @@ def meta_zoom(nodes: DataFrame) -> DataFrame:
     return low.crossJoin(raster).select("r_min", F.least(_zoom(F.lit(LEAST_PX) / F.col("r_min")), F.col("_raster")).alias("max_zoom"))
 
 
-def _neighbours(rows, keys: tuple[str, ...]) -> list:
+def _neighbours(rows, keys: Sequence[str]) -> list:
     return [[n[k] for k in keys] for n in ([] if rows is None else rows)]
 
 
-def _entry(rec, keys: tuple[str, ...]) -> dict:
-    pair = ("ncl", "count")
-    return {
-        "id": int(rec["id"]), "t": rec["t"], "x": rec["x"], "y": rec["y"], "r": rec["radius"], "cl": int(rec["cl"]), "pr": int(rec["pr"]), "no": int(rec["no"]), "ni": int(rec["ni"]),
-        "ob": _neighbours(rec["ob"], pair), "ib": _neighbours(rec["ib"], pair), "out": _neighbours(rec["out"], keys), "in": _neighbours(rec["inn"], keys),
-    }
+def _entry(rec, keys: Sequence[str]) -> dict:
+    """The record under its short names, in the order that readers expect."""
+    plain = {k: rec["radius" if k == "r" else k] for k in "id t x y r cl pr no ni".split()}
+    counts = {k: _neighbours(rec[k], ("ncl", "count")) for k in ("ob", "ib")}
+    return plain | counts | {"out": _neighbours(rec["out"], keys), "in": _neighbours(rec["inn"], keys)}
 
 
 def pack_json(value) -> bytes:
@@ -85,7 +84,9 @@ def pack_json(value) -> bytes:
     return gzip.compress(json.dumps(value, separators=(",", ":"), ensure_ascii=False, default=lambda v: v.item()).encode(), 6, mtime=0)
 
 
-RECORD = ("id", "t", "x", "y", "radius", "cl", "pr", "no", "ni", "ob", "ib", "out", "inn")
+#: What tiles and pages say of a neighbour.
+PLACE, PAGE = ("nx ny nr ncl".split(), "nid nt nx ny nr ncl".split())
+RECORD = tuple("id t x y radius cl pr no ni ob ib out inn".split())
 
 
 def encode_tiles(records: DataFrame, most: int) -> DataFrame:
@@ -95,7 +96,7 @@ def encode_tiles(records: DataFrame, most: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            data = [pack_json([_entry(r, ("nx", "ny", "nr", "ncl")) for r in recs]) for recs in f["recs"]]
+            data = [pack_json([_entry(r, PLACE) for r in recs]) for recs in f["recs"]]
             yield f[["z", "x", "y", "tile_id"]].assign(data=data)
 
     return held.select("z", "x", "y", "tile_id", "recs").mapInPandas(run, "z int, x int, y int, tile_id bigint, data binary")
@@ -115,7 +116,7 @@ def encode_pages(records: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             at = [geometry.hilbert_tile(int(t)) for t in f["tile_id"]]
-            data = [pack_json(_entry(r, ("nid", "nt", "nx", "ny", "nr", "ncl"))) for r in f.to_dict("records")]
+            data = [pack_json(_entry(r, PAGE)) for r in f.to_dict("records")]
             yield pd.DataFrame({"z": [a[0] for a in at], "x": [a[1] for a in at], "y": [a[2] for a in at], "tile_id": f["tile_id"], "data": data})
 
     return records.join(page_slots(records), "id").select(*RECORD, "tile_id").mapInPandas(run, "z int, x int, y int, tile_id bigint, data binary")

@@ -36,8 +36,7 @@ WITH RECURSIVE dump AS ({A.DUMP_SQL}),
 page AS (SELECT regexp_extract(xml, '<page>(.*?)</page>', 1, 's') AS p FROM dump),
 kept AS (SELECT {_PLAIN.format("regexp_extract(p, '<title>([^<]*)</title>', 1)")} AS t, {_PLAIN.format("regexp_extract(p, '<text[^>]*>(.*?)</text>', 1, 's')")} AS b
          FROM page WHERE regexp_extract(p, '<ns>([0-9]+)</ns>', 1) = '0'),
-parsed AS (SELECT {_NORMAL.format("t")} AS title, regexp_replace(regexp_replace(b, '<ref[^>]*?(?:/>|>.*?</ref>)', '', 'gs'), '\\s*$', '') AS b0,
-           regexp_replace(regexp_replace(b, '<ref[^>]*?(?:/>|>.*?</ref>)', '', 'gs'), '==\\s*(?:sources|notes|citations|references)\\s*==.*', '', 'is') AS body FROM kept),
+parsed AS (SELECT {_NORMAL.format("t")} AS title, regexp_replace(regexp_replace(b, '{extract.CITATION}', '', 'gs'), '==\\s*(?:sources|notes|citations|references)\\s*==.*', '', 'is') AS body FROM kept),
 classified AS (SELECT title, body, regexp_matches(left(body, 300), '#redirect\\s*\\[\\[[^|#\\]]+', 'i') AS is_redirect,
                regexp_extract(left(body, 300), '#redirect\\s*\\[\\[([^|#\\]]+)', 1, 'i') AS rt FROM parsed),
 pages AS (SELECT title, is_redirect, CASE WHEN is_redirect THEN {_NORMAL.format("rt")} END AS redirect_target, body FROM classified),
@@ -389,7 +388,7 @@ SELECT nodes.id, title AS t, round_even(x, 2) AS x, round_even(y, 2) AS y, radiu
 FROM nodes LEFT JOIN o ON o.id = nodes.id LEFT JOIN i ON i.id = nodes.id""")
 def node_records(spark: SparkSession, d: str) -> DataFrame:
     r = records.records(A.spatial(spark, d), A.near(spark, d))
-    return r.select("id", "t", "x", "y", "radius", "cl", "pr", "no", "ni", F.coalesce(F.array_join(F.expr("transform(out, n -> cast(n.nid AS string))"), ","), F.lit("")).alias("out"))
+    return r.select(*"id t x y radius cl pr no ni".split(), F.coalesce(F.array_join(F.expr("transform(out, n -> cast(n.nid AS string))"), ","), F.lit("")).alias("out"))
 
 
 @query()

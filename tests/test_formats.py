@@ -110,7 +110,7 @@ def test_encoded_records(spark):
     per = {}
     for r in queries.encoded_tiles(spark, SMALL).collect():
         got = json.loads(gzip.decompress(r.data))
-        assert r.tile_id == geometry.hilbert(r.z, r.x, r.y) and list(got[0]) == ["id", "t", "x", "y", "r", "cl", "pr", "no", "ni", "ob", "ib", "out", "in"]
+        assert r.tile_id == geometry.hilbert(r.z, r.x, r.y) and list(got[0]) == "id t x y r cl pr no ni ob ib out in".split()
         per.setdefault(r.z, []).extend(e["id"] for e in got)
         assert all(len(n) == 4 for e in got for n in e["out"])
     assert all(len(v) == len(set(v)) for v in per.values()) and len(per) == 4
