@@ -1,8 +1,9 @@
 """Ranked search in titles and their aliases that forgives typos.
 
 An index is four tables: values (each title and kept alias), postings (term, id, value_no, pos), vocabulary (term, df) and
-docs with normalised importance. A query becomes a handful of literal terms: the vocabulary is filtered by them, the matching
-terms meet the postings, and one aggregation by document scores and checks that every required word is there.
+docs with normalised importance and their numbers of words and names, so that a query reads only its own terms. A query
+becomes a handful of literal terms: the vocabulary is filtered by them, the matching terms meet the postings, and one
+aggregation by document scores and checks that every required word is there.
 """
 
 from __future__ import annotations
@@ -55,19 +56,22 @@ def postings(held: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame) -> Index:
-    scaled = storage.materialize(importance(docs), "docs")
     held = storage.materialize(values(docs).withColumn("raw", X.raw_token(F.col("value"))), "values")
     post = storage.materialize(postings(held).repartition("term"), "postings")
     vocabulary = storage.materialize(post.groupBy("term").agg(F.count_distinct("id").alias("df")), "vocabulary")
-    n = scaled.count()
-    return Index(scaled, held, post, vocabulary, n, post.count() / max(n, 1), held.count() / max(n, 1))
+    sizes = held.groupBy("id").agg(F.count("*").alias("n_names")).join(post.groupBy("id").agg(F.count("*").alias("n_words")), "id", "left")
+    scaled = storage.materialize(importance(docs).join(sizes, "id", "left").fillna(0, ["n_names", "n_words"]), "docs")
+    return _index({"docs": scaled, "values": held, "postings": post, "vocabulary": vocabulary})
+
+
+def _index(t: dict[str, DataFrame]) -> Index:
+    n, words, names = t["docs"].agg(F.count("*"), F.sum("n_words"), F.sum("n_names")).first()
+    return Index(t["docs"], t["values"], t["postings"], t["vocabulary"], n, (words or 0) / max(n, 1), (names or 0) / max(n, 1))
 
 
 def read(spark: SparkSession, folder: str) -> Index:
     """An index that write() has left in folder."""
-    t = {k: spark.read.parquet(f"{folder}/{k}") for k in ("docs", "values", "postings", "vocabulary")}
-    n = t["docs"].count()
-    return Index(t["docs"], t["values"], t["postings"], t["vocabulary"], n, t["postings"].count() / max(n, 1), t["values"].count() / max(n, 1))
+    return _index({k: spark.read.parquet(f"{folder}/{k}") for k in ("docs", "values", "postings", "vocabulary")})
 
 
 def write(index: Index, folder: str) -> None:
@@ -110,7 +114,7 @@ def word_scores(index: Index, token: str, last: bool) -> DataFrame:
     """(id, score) of the documents that match a word: BM25 for the word itself, 1 for a typo's reach, 1 for a prefix."""
     terms = matched_terms(index.vocabulary, token, last)
     met = index.postings.join(terms, "term")
-    lengths = index.postings.groupBy("id").agg(F.count("*").alias("length"))
+    lengths = index.docs.select("id", F.col("n_words").alias("length"))
     per = met.groupBy("id").agg(F.count_if("exact").alias("tf"), F.max(F.when(F.col("exact"), F.col("df"))).alias("df"), F.max(F.col("fuzzy").cast("int")).alias("fuzzy"), F.max(F.col("prefix").cast("int")).alias("prefix"))
     score = F.when(F.col("tf") > 0, _bm25(F.col("tf"), F.col("length"), index.words, F.col("df"), index.n)).otherwise(F.lit(0.0)) + F.col("fuzzy") + F.col("prefix")
     return (per.join(lengths, "id") if not last else per.withColumn("length", F.lit(1))).select("id", score.alias("score"))
@@ -125,7 +129,7 @@ def phrase_scores(index: Index, tokens: list[str]) -> DataFrame:
         p = F.col(f"p{i}")
         at = at.join(spot(i), ["id", "value_no"]).withColumns({"low": F.least("low", p), "high": F.greatest("high", p)}).where(f"high - low <= {SLOP}").select("id", "value_no", "p0", "low", "high").distinct()
     idf = index.vocabulary.where(F.col("term").isin(tokens)).agg(F.sum(_idf(F.col("df"), index.n)).alias("idf"))
-    lengths = index.postings.groupBy("id").agg(F.count("*").alias("length"))
+    lengths = index.docs.select("id", F.col("n_words").alias("length"))
     per = at.groupBy("id").agg(F.count_distinct("value_no", "p0").alias("tf")).join(lengths, "id").crossJoin(idf)
     return per.select("id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / index.words))).alias("score"))
 
@@ -135,7 +139,7 @@ def name_scores(index: Index, raw: str, exact: float = EXACT, starts: float = ST
     hit = index.values.where(F.col("raw").startswith(raw))
     per = hit.groupBy("id").agg(F.count_if(F.col("raw") == raw).alias("tf"))
     df = per.agg(F.count_if(F.col("tf") > 0).alias("df"))
-    counts = index.values.groupBy("id").agg(F.count("*").alias("length"))
+    counts = index.docs.select("id", F.col("n_names").alias("length"))
     score = F.when(F.col("tf") > 0, _bm25(F.col("tf"), F.col("length"), index.names, F.col("df"), index.n) * exact).otherwise(F.lit(0.0)) + starts
     return per.join(counts, "id").crossJoin(df).select("id", score.alias("score"))
 
