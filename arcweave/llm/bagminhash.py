@@ -161,18 +161,18 @@ def near_pairs(documents: DataFrame, gram: int = GRAM, bands: int = BANDS, rows:
     first = lean.groupBy("sum").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
     copied = first.where("a < z")
     copies = util.materialize(lean.join(copied, "sum").where("doc > a").select("a", F.col("doc").alias("b")).distinct(), "copies")
-    signed = docs.join(copies.select(F.col("b").alias("doc")).distinct(), "doc", "left_anti").mapInArrow(_sign(gram, bands, rows), "doc long, sig binary, bands array<long>")
-    signed = util.materialize(signed, "signatures")
+    signed = util.materialize(docs.mapInArrow(_sign(gram, bands, rows), "doc long, sig binary, bands array<long>"), "signatures")
+    alone = signed.join(copies.select(F.col("b").alias("doc")).distinct(), "doc", "left_anti")  # signatures move, not texts
     by = Window.partitionBy("band").orderBy("doc")
-    seats = signed.select("doc", F.explode("bands").alias("band")).withColumns({"head": F.first("doc").over(by.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lag("doc").over(by)})
+    seats = alone.select("doc", F.explode("bands").alias("band")).withColumns({"head": F.first("doc").over(by.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lag("doc").over(by)})
     pairs = seats.where("head < doc").select(F.explode(F.array_distinct(F.array("head", "last"))).alias("a"), F.col("doc").alias("b")).where("a < b").distinct()
     sig = lambda k: signed.select(F.col("doc").alias(k), F.col("sig").alias("sig_" + k))
-    pairs = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(similar - slack), "a long, b long")
+    pairs = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(similar - slack), "a long, b long").distinct()
     pairs = util.materialize(pairs, "pairs")
     util.release(signed)
-    wanted = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    wanted = util.materialize(wanted, "texts")
-    text = lambda k: wanted.select(F.col("doc").alias(k), F.col("text").alias("text_" + k))
+    wanted = util.materialize(util.among(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc"), "texts")
+    one = wanted.dropDuplicates(["doc"])
+    text = lambda k: one.select(F.col("doc").alias(k), F.col("text").alias("text_" + k))
     checked = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlap(gram), "a long, b long, similarity double")
     checked = util.materialize(checked.where(F.col("similarity") >= similar), "pairs")
     util.release(wanted)

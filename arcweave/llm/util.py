@@ -5,11 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bits of the largest bitmap that among() gives to every task: 8 MB.
+FILTER_BITS = 1 << 26
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -67,6 +73,30 @@ def _clean() -> None:
             print(f"left behind {path}: {type(e).__name__}")
 
 
+def among(rows: DataFrame, ids: DataFrame, key: str, most: int = FILTER_BITS) -> DataFrame:
+    """rows without most of those whose key isn't in ids (distinct, with that one column), so that an equality join that
+    follows has few rows to move. Every task gets a bitmap of the hashed ids, 16 bits an id or more, `most` bits in all;
+    what passes by chance is left to the join. Ids too many for that are joined here instead."""
+    spark, n = rows.sparkSession, ids.count()
+    bits = min(1 << max(10, (16 * n).bit_length()), most)
+    if 2 * n > bits:
+        return rows.join(ids, key, "left_semi")
+    spot = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
+    held = ids.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 AS int)))").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[held["word"].to_numpy()] = held["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.view(np.uint64)
+        for batch in batches:
+            s = batch.column(batch.num_columns - 1).to_numpy()
+            on = (table[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(on.astype(bool))).select(batch.schema.names[:-1])
+
+    return rows.withColumn("__spot", spot).mapInArrow(run, rows.schema)
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, group): for every id in edges(a, b), the smallest id that it is connected with.
 
