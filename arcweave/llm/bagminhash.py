@@ -192,5 +192,5 @@ def near_duplicates(documents: DataFrame, gram: int = GRAM, bands: int = BANDS,
 
 def deduplicate(documents: DataFrame, **parameters) -> DataFrame:
     """documents without those near-duplicates that their group doesn't keep; all other rows and columns as they were."""
-    gone = near_duplicates(documents, **parameters).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
+    gone = near_duplicates(documents, **parameters).where("doc_id <> group_id").select("doc_id").distinct()
+    return util.without(documents, util.materialize(gone, "gone"), "doc_id")

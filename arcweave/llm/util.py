@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bits of the largest bitmap that among() gives to every task: 8 MB.
+#: Bits of the largest bitmap that among() and without() give to every task: 8 MB.
 FILTER_BITS = 1 << 26
 
 _made: list[tuple[SparkSession, str]] = []
@@ -73,28 +73,54 @@ def _clean() -> None:
             print(f"left behind {path}: {type(e).__name__}")
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str, most: int = FILTER_BITS) -> DataFrame:
-    """rows without most of those whose key isn't in ids (distinct, with that one column), so that an equality join that
-    follows has few rows to move. Every task gets a bitmap of the hashed ids, 16 bits an id or more, `most` bits in all;
-    what passes by chance is left to the join. Ids too many for that are joined here instead."""
+def _marked(rows: DataFrame, ids: DataFrame, key: str, most: int):
+    """A function that keeps the rows whose hashed key is marked (or isn't) in a bitmap of ids, 16 bits an id or more, at
+    most `most` in all; None where that would mark most rows by chance."""
     spark, n = rows.sparkSession, ids.count()
     bits = min(1 << max(10, (16 * n).bit_length()), most)
     if 2 * n > bits:
-        return rows.join(ids, key, "left_semi")
-    spot = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
+        return None
+    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits).cast("long"))
     held = ids.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 AS int)))").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.int64)
     words[held["word"].to_numpy()] = held["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(words)
+    name = "__spot"
+    while name in rows.columns:
+        name += "_"
+
+    def keep(marked: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value.view(np.uint64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):  # small batches back: rows may hold long texts
+                    part = batch.slice(at, 256)
+                    s = part.column(part.num_columns - 1).to_numpy()
+                    on = (table[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
+                    kept = part.filter(pa.array(on.astype(bool) == marked))
+                    if kept.num_rows:
+                        yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+                pa.default_memory_pool().release_unused()
+
+        return rows.withColumn(name, spot).mapInArrow(run, rows.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.view(np.uint64)
-        for batch in batches:
-            s = batch.column(batch.num_columns - 1).to_numpy()
-            on = (table[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(on.astype(bool))).select(batch.schema.names[:-1])
+    return keep
 
-    return rows.withColumn("__spot", spot).mapInArrow(run, rows.schema)
+
+def among(rows: DataFrame, ids: DataFrame, key: str, most: int = FILTER_BITS) -> DataFrame:
+    """rows without most of those whose key isn't in ids (distinct, with that one column), so that an equality join that
+    follows has few rows to move; what passes by chance is left to it. Ids too many for a bitmap are joined here."""
+    keep = _marked(rows, ids, key, most)
+    return keep(True) if keep else rows.join(ids, key, "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str, most: int = FILTER_BITS) -> DataFrame:
+    """rows whose key isn't in ids (distinct, with that one column), exactly. Only rows that a bitmap marks are joined, the
+    rest stay where they are. Ids too many for a bitmap are joined with all rows. A null key stays."""
+    gone = ids.select(F.col(key).alias("__gone"))
+    anti = lambda df: df.join(gone, df[key].cast("long") == gone["__gone"], "left_anti")
+    keep = _marked(rows, ids, key, most)
+    return keep(False).unionByName(anti(keep(True))) if keep else anti(rows)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
