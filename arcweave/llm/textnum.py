@@ -132,7 +132,7 @@ def grams(hashes: np.ndarray, rows: np.ndarray, q: int) -> tuple[np.ndarray, np.
     return mix(total[at]), out_rows
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` bytes of text, so that memory doesn't depend on the batch."""
     if not batch.num_rows:
         return
@@ -144,3 +144,4 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 3 << 20) -> It
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
