@@ -14,7 +14,7 @@ import os
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +26,7 @@ from arcweave.llm import textnum
 
 MODEL = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words whose ids a worker keeps at most; it starts afresh beyond that.
-CACHED = 300_000
+CACHED = 100_000
 MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -147,7 +147,6 @@ class Piece:
         with open(path, "rb") as f:
             data = f.read()
         m = self.model = parse(data)
-        self.tokenizer = build(m)
         self.plain = build(m, prefix=False)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_word = splits(m) and m.bpe and m.dummy_prefix and not m.charsmap and not m.squeeze and USER not in m.kinds
@@ -167,6 +166,11 @@ class Piece:
             return " \u2047 ".encode()
         return (piece.replace(MARK, " ") if self.model.escape else piece).encode()
 
+    @cached_property
+    def tokenizer(self):
+        """For whole texts; seldom needed where words can be told apart."""
+        return build(self.model)
+
     @staticmethod
     def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
