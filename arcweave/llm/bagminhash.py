@@ -10,7 +10,8 @@ a document stops when the next is later than its latest component, so n tokens c
 
 Identical texts are one document from the start. Signatures are cut into BANDS bands; in each bucket every document is
 paired with the bucket's first and with the one before it, pairs whose signatures agree too little are dropped, and the
-multisets of the rest are compared exactly. Pairs of at least SIMILAR are joined to groups.
+multisets of the rest are compared exactly. Pairs of at least SIMILAR are joined to groups. Then all pairs of a bucket that
+aren't in one group yet are compared in the same way, so the groups are those of all pairs in all buckets.
 
 Defined results. A null text or null doc_id takes no part; an empty text, or one with no word, equals only texts that are
 identical to it. A text with fewer than GRAM words is one token. Rows that repeat a doc_id are one document, and stay or
@@ -153,6 +154,21 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
 
 
+def _verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, gram: int, similar: float, slack: float) -> DataFrame:
+    """(a, b, similarity) of those pairs (a, b) whose multisets are at least `similar`."""
+    sig = lambda k: signed.select(F.col("doc").alias(k), F.col("sig").alias("sig_" + k))
+    pairs = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(similar - slack), "a long, b long").distinct()
+    pairs = util.materialize(pairs, "pairs")
+    wanted = util.materialize(util.among(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc"), "texts")
+    one = wanted.dropDuplicates(["doc"])
+    text = lambda k: one.select(F.col("doc").alias(k), F.col("text").alias("text_" + k))
+    checked = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlap(gram), "a long, b long, similarity double")
+    checked = util.materialize(checked.where(F.col("similarity") >= similar), "pairs")
+    util.release(wanted)
+    util.release(pairs)
+    return checked
+
+
 def near_pairs(documents: DataFrame, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
     """(copies, pairs): exact copies (a, b), b > a the first document with that text; and verified pairs
     (a, b, similarity) among the first documents of each text."""
@@ -164,19 +180,25 @@ def near_pairs(documents: DataFrame, gram: int = GRAM, bands: int = BANDS, rows:
     signed = util.materialize(docs.mapInArrow(_sign(gram, bands, rows), "doc long, sig binary, bands array<long>"), "signatures")
     alone = signed.join(copies.select(F.col("b").alias("doc")).distinct(), "doc", "left_anti")  # signatures move, not texts
     by = Window.partitionBy("band").orderBy("doc")
-    seats = alone.select("doc", F.explode("bands").alias("band")).withColumns({"head": F.first("doc").over(by.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lag("doc").over(by)})
-    pairs = seats.where("head < doc").select(F.explode(F.array_distinct(F.array("head", "last"))).alias("a"), F.col("doc").alias("b")).where("a < b").distinct()
-    sig = lambda k: signed.select(F.col("doc").alias(k), F.col("sig").alias("sig_" + k))
-    pairs = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree(similar - slack), "a long, b long").distinct()
-    pairs = util.materialize(pairs, "pairs")
+    rows_of = alone.select("doc", F.explode("bands").alias("band"))
+    seats = rows_of.withColumns({"head": F.first("doc").over(by.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lag("doc").over(by)})
+    star = seats.where("head < doc").select(F.explode(F.array_distinct(F.array("head", "last"))).alias("a"), F.col("doc").alias("b")).where("a < b").distinct()
+    star = util.materialize(star, "pairs")
+    checked = _verified(docs, signed, star, gram, similar, slack)
+    group = util.components(checked)
+    held = rows_of.join(group.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "band", F.coalesce("group", "doc").alias("group"))
+    of_band = Window.partitionBy("band")
+    held = held.withColumns({"low": F.min("group").over(of_band), "high": F.max("group").over(of_band)}).where("low < high").select("doc", "band", "group")
+    held = util.materialize(held, "seats")  # buckets of several groups
+    other = held.select("band", F.col("doc").alias("b"), F.col("group").alias("group_b"))
+    apart = held.withColumnRenamed("doc", "a").join(other, "band").where((F.col("a") < F.col("b")) & (F.col("group") != F.col("group_b"))).select("a", "b").distinct()
+    rest = util.materialize(apart.join(star, ["a", "b"], "left_anti"), "pairs")
+    util.release(held)
+    util.release(star)
+    if not rest.isEmpty():
+        checked = checked.unionByName(_verified(docs, signed, rest, gram, similar, slack))
+    util.release(rest)
     util.release(signed)
-    wanted = util.materialize(util.among(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "doc"), "texts")
-    one = wanted.dropDuplicates(["doc"])
-    text = lambda k: one.select(F.col("doc").alias(k), F.col("text").alias("text_" + k))
-    checked = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_overlap(gram), "a long, b long, similarity double")
-    checked = util.materialize(checked.where(F.col("similarity") >= similar), "pairs")
-    util.release(wanted)
-    util.release(pairs)
     return copies, checked
 
 

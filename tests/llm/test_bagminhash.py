@@ -60,6 +60,25 @@ def test_recall_near_the_threshold(spark):
     assert all(k in true for k in got)
 
 
+def family(pairs: int = 60) -> list[tuple[int, str]]:
+    """Documents of one template, about 0.42 similar to each other, and their near copies of about 0.54, ids interleaved."""
+    rng, rows = np.random.default_rng(8), []
+    unique = lambda n: [f"u{k}" for k in rng.integers(0, 1 << 40, n)]
+    template = unique(178)
+    for i in range(pairs):
+        own = unique(32)
+        rows += [(i, " ".join(template + own + unique(90))), (pairs + (i * 7) % pairs, " ".join(template + own + unique(90)))]
+    return rows
+
+
+def test_pairs_within_a_family_of_one_template(spark):
+    rows = family()
+    want = brute(rows)
+    got = {r.doc_id: r.group_id for r in B.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) == 60 and sum(got.get(a, -1) == got.get(b, -2) for a, b in want) >= 0.93 * len(want)
+    assert got.items() <= groups(want).items()
+
+
 def test_many_near_copies(spark):
     base = prose(7, 400).split()
     rows = [(i, " ".join(base[:200] + [f"copy{i}"] + base[200:])) for i in range(1500)] + [(5000, prose(8, 400))]
