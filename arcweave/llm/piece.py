@@ -6,15 +6,17 @@ runs in multithreaded batches; decoding joins the pieces' bytes from a table.
 
 No piece of the usual models continues a word after its marker, so BPE merges never cross the start of a word: texts are
 then split there, which changes no id and lets the library's cache work. Where a piece does (checked), nothing is split.
+Distinct words are told apart by their bytes, never by a hash alone.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-from array import array
+import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from arcweave.llm import textnum
 
 MODEL = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-#: Words whose ids a worker keeps at most; it starts afresh beyond that.
-CACHED = 100_000
+#: Bytes of words and ids that a task keeps from one run of texts to the next; it starts afresh beyond that, and at its end.
+CACHED = 64 << 20
+#: One in so many texts is encoded by the original as a whole, besides those that fail the round trip.
+WHOLE = 8
 MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -105,8 +109,8 @@ def splits(m: Model) -> bool:
     return m.escape and not m.suffix and not any(MARK in p.lstrip(MARK) for p, k in zip(m.pieces, m.kinds) if k in (NORMAL, USER, UNUSED))
 
 
-def build(m: Model, prefix: bool = True):
-    """A tokenizers.Tokenizer that gives the ids of the SentencePiece model; without prefix, texts bring their own marker."""
+def build(m: Model):
+    """A tokenizers.Tokenizer that gives the ids of the SentencePiece model."""
     from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers
 
     unknown = m.kinds.index(UNKNOWN)
@@ -121,7 +125,7 @@ def build(m: Model, prefix: bool = True):
     if m.squeeze:
         steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     space = MARK if m.escape else " "
-    if prefix and m.dummy_prefix and not m.suffix:
+    if m.dummy_prefix and not m.suffix:
         steps.append(normalizers.Prepend(space))
     if m.dummy_prefix and m.suffix:
         steps.append(normalizers.Replace(Regex("(?<=.)$"), space))
@@ -138,6 +142,17 @@ def build(m: Model, prefix: bool = True):
     return t
 
 
+def bare(m: Model, joined: bool = False):
+    """The rebuilt model without its normaliser, for words that bring their markers; joined: each marker begins a word."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer(build(m).model)
+    t.encode_special_tokens = True
+    if joined:
+        t.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+    return t
+
+
 class Piece:
     """Encoder and decoder of one model file."""
 
@@ -147,11 +162,10 @@ class Piece:
         with open(path, "rb") as f:
             data = f.read()
         m = self.model = parse(data)
-        self.plain = build(m, prefix=False)
+        self.plain, self.joined = bare(m), bare(m, True)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_word = splits(m) and m.bpe and m.dummy_prefix and not m.charsmap and not m.squeeze and USER not in m.kinds
-        self.cache: dict[int, bytes] = {}  # ids as 32-bit numbers: a fifth of what lists take
-        self.differs: set[int] = set()  # words whose ids aren't the original's
+        self.forget()
         table = [self._bytes(p, k) for p, k in zip(m.pieces, m.kinds)]
         self.length = np.array([len(b) for b in table])
         self.start = np.cumsum(self.length) - self.length
@@ -176,16 +190,54 @@ class Piece:
         off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
         return np.fromiter((i for r in rows for i in r), np.int32, off[-1]), off
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, row pointers, whether a row has the ids of the original library)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """(ids of all texts, row pointers, whether a row has the ids of the original library, whether whole texts were
+        compared)."""
         data, offsets = textnum.buffers(texts)
         marked = len(data) > 2 and bool(((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)).any())
         if not self.by_word or marked:
             rows = texts.fill_null("").to_pylist()
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
             same = np.array([a == b for a, b in zip(ids, self.original.encode(rows, num_threads=1))], bool)
-            return *self._flat(ids), same
-        return self._by_word(data, offsets)
+            return *self._flat(ids), same, True
+        return *self._by_word(data, offsets), False
+
+    def forget(self) -> None:
+        """Known words: the position of each, and by position its ids and whether they are the original's."""
+        self.known: dict[bytes, int] = {}
+        self.kept = 0
+        self.flat, self.ends, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [k.decode() for k in new]
+        ids, ends = self._ids(texts)
+        sizes, theirs = np.diff(ends), self._of_words(texts)
+        same = sizes == np.fromiter(map(len, theirs), np.int64, len(theirs))
+        flat = np.fromiter(chain.from_iterable(theirs), np.int32)
+        if same.all():
+            wrong = np.concatenate([[0], np.cumsum(flat != ids)])
+            same = wrong[ends[1:]] == wrong[ends[:-1]]
+        else:
+            same = np.array([ids[a:b].tolist() == x for a, b, x in zip(ends[:-1], ends[1:], theirs)], bool)
+        self.known.update(zip(new, range(len(self.same), len(self.same) + len(new))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends[1:]])
+        self.same = np.concatenate([self.same, same])
+        self.kept += sum(map(len, new)) + 4 * len(ids) + 150 * len(new)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, row pointers) of words with their spaces. Words of one space are encoded many at once: the pieces tell by
+        their bytes where a word ends, as long as none is unknown."""
+        if self.model.byte_fallback and not any(w.startswith("  ") for w in words):
+            runs = [words[i : i + 4096] for i in range(0, len(words), 4096)]
+            codes = [e.ids for e in self.joined.encode_batch_fast(["".join(r).replace(" ", MARK) for r in runs], add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(codes), np.int32)
+            ends = np.cumsum([len(w.encode()) for w in words])
+            at = np.cumsum(self.length[ids])
+            cut = np.searchsorted(at, ends)
+            if len(at) and at[-1] == ends[-1] and (at[cut] == ends).all():
+                return ids, np.concatenate([[0], cut + 1])
+        return self._flat([e.ids for e in self.plain.encode_batch_fast([w.replace(" ", MARK) for w in words], add_special_tokens=False)])
 
     def _by_word(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every distinct word (spaces and what follows them) is encoded, and held against the original, once."""
@@ -195,35 +247,30 @@ class Piece:
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
         first[heads] = True
         start = np.flatnonzero(first)
-        end = np.append(start[1:], len(data))
-        head = np.zeros(len(data) + 1, bool)
-        head[heads] = True
-        sums = np.zeros(len(data) + 1, textnum.U)
-        np.cumsum((data.astype(textnum.U) + textnum.U(1)) * textnum._power(textnum._P, len(data)), out=sums[1:])
-        key = textnum.mix((sums[end] - sums[start]) * textnum._power(textnum._PINV, len(sums))[start] + head[start].astype(textnum.U), 1)
-        _, at, which = np.unique(key, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        keys, begin, stop = key[at].tolist(), start[at].tolist(), end[at].tolist()
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-            self.differs.clear()
-        cache = self.cache
-        new = [i for i, k in enumerate(keys) if k not in cache]
-        words = [(b" " * bool(head[begin[i]]) + raw[begin[i] : stop[i]]).decode() for i in new]
-        codes = [e.ids for e in self.plain.encode_batch_fast(words, add_special_tokens=False)]
-        for i, a, b in zip(new, codes, self._of_words(words)):
-            cache[keys[i]] = array("i", a).tobytes()
-            if a != b:
-                self.differs.add(keys[i])
-        found = [cache[k] for k in keys]
-        same = np.array([k not in self.differs for k in keys], bool)
-        flat = np.frombuffer(b"".join(found), np.int32)
-        off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
-        n = (off[1:] - off[:-1])[which]
-        to = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.arange(to[-1]) + np.repeat(off[:-1][which] - to[:-1], n)]
         rows = np.searchsorted(start, offsets)
-        bad = np.concatenate([[0], np.cumsum(~same[which])])
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.ones(len(offsets) - 1, bool)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        leads = np.zeros(len(start), bool)
+        leads[np.searchsorted(start, heads)] = True  # these get one more marker
+        which = words.indices.to_numpy() * 2 + leads
+        there = np.zeros(2 * len(words.dictionary), bool)
+        there[which] = True
+        code, which = np.flatnonzero(there), (np.cumsum(there) - 1)[which]
+        keys = words.dictionary.take(pa.array(code // 2)).to_pylist()
+        keys = [b" " + k if lead else k for k, lead in zip(keys, (code % 2).tolist())]
+        if self.kept > CACHED:
+            self.forget()
+        several = lambda k: k.startswith(b"  ")
+        new = [k for k in keys if k not in self.known]
+        for some in ([k for k in new if not several(k)], [k for k in new if several(k)]):
+            for at in range(0, len(some), 1 << 16):
+                self._learn(some[at : at + (1 << 16)])
+        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[which]
+        n = np.diff(self.ends)[place]
+        to = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.arange(to[-1]) + np.repeat(self.ends[:-1][place] - to[:-1], n)]
+        bad = np.concatenate([[0], np.cumsum(~self.same[place])])
         return ids, to[rows], bad[rows[1:]] == bad[rows[:-1]]
 
     def _of_words(self, words: list[str]) -> list[list[int]]:
@@ -254,38 +301,51 @@ def load(path: str) -> Piece:
     return Piece(path)
 
 
+def whole(texts: list[str | None], every: int = WHOLE) -> np.ndarray:
+    """Which texts the original encodes as a whole: one in `every`, by a checksum of the text."""
+    return np.array([t is not None and zlib.crc32(t.encode("utf-8", "surrogatepass")) % every == 0 for t in texts], bool)
+
+
 def _encode(path: str, threads: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("parity", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("parity", pa.bool_()), ("parity_of", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         p = load(path)
         for batch in batches:
-            for part in textnum.pieces(batch, "text", 1 << 20):
+            for part in textnum.pieces(batch, "text", 2 << 20):
                 texts = part.column(1)
-                ids, rows, same = p.encode(texts)
-                back = p.decode(ids, rows)
-                equal = np.array([a == b for a, b in zip(back.to_pylist(), texts.to_pylist())], bool)
+                ids, rows, same, full = p.encode(texts)
+                plain = texts.to_pylist()
+                equal = np.array([a == b for a, b in zip(p.decode(ids, rows).to_pylist(), plain)], bool)
                 null = np.asarray(texts.is_null())
-                lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids, pa.int32()))
-                if null.any():
-                    lists = pa.array([None if x else v for x, v in zip(null, lists.to_pylist())], pa.list_(pa.int32()))
-                cols = [pa.array(c, mask=null) for c in (np.diff(rows).astype(np.int32), equal, same)]
-                yield pa.RecordBatch.from_arrays([part.column(0), cols[0], lists, cols[1], cols[2]], schema=schema)
+                text = np.full(len(plain), full)
+                if not full:
+                    text = (whole(plain) | ~equal | ~same) & ~null
+                    for i in np.flatnonzero(text).tolist():
+                        same[i] = np.array_equal(ids[rows[i] : rows[i + 1]], p.original.encode(plain[i]))
+                lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null))
+                cols = [pa.array(c, mask=null) for c in (np.diff(rows).astype(np.int32), equal, same, np.where(text, "text", "words"))]
+                yield pa.RecordBatch.from_arrays([part.column(0), cols[0], lists, *cols[1:]], schema=schema)
+        p.forget()
+        textnum.give_back()
 
     return run
 
 
 def encode_documents(documents: DataFrame, model: str = MODEL, threads: int = 2) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip, parity) for every row. round_trip: decoding gives the text again; parity: the
-    ids are those of the original library, which every distinct word (or whole text, where words can't be told apart) is
-    held against.
-
-    Defined results. A null text has nulls; an empty one no ids; a null doc_id stays null; repeated rows repeat. Strings
-    that look like special tokens are ordinary text. Other columns are not read. An empty table gives an empty result."""
+    """(doc_id, n_tokens, ids, round_trip, parity, parity_of) for every row. round_trip: decoding gives the text again;
+    parity: the ids are those of the original library. Where words can't be told apart, whole texts are held against it
+    (parity_of is `text`). Else every distinct word is, which proves the text's ids as no piece crosses a word's marker
+    (parity_of is `words`), and besides, as a whole, every text that fails the round trip or has a word that differs, and
+    one in WHOLE of the rest by checksum (parity_of is `text`).
+
+    Defined results. A null text has nulls; an empty one no ids; a null doc_id stays null; repeated rows repeat. Very long
+    texts, and words of any length, are encoded whole, in one task. There are no ties. Strings that look like special
+    tokens are ordinary text. Other columns are not read, so their names can't clash. An empty table gives an empty result."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_encode(model, threads), "doc_id long, n_tokens int, ids array<int>, round_trip boolean, parity boolean")
+    return docs.mapInArrow(_encode(model, threads), "doc_id long, n_tokens int, ids array<int>, round_trip boolean, parity boolean, parity_of string")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -43,8 +43,8 @@ def _hashes(w: textnum.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(positions of words, their 32-bit feature) for words, then for each prefix length."""
     every = np.arange(len(w.start))
     for k, n in enumerate((0, *PREFIXES)):
-        at = every if not n else np.flatnonzero(w.end - w.start > n)
-        yield at, (w.slices(w.start[at], w.end[at] if not n else w.start[at] + n, 101 + k) >> textnum.U(32)).astype(np.uint32)
+        at = np.flatnonzero(w.end - w.start > n) if n else every
+        yield at, ((w.heads(at, n, 101 + k) if n else w.hash(101)) >> textnum.U(32)).astype(np.uint32)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
