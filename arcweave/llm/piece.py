@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from itertools import chain
@@ -29,8 +28,6 @@ from arcweave.llm import textnum
 MODEL = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Bytes of words and ids that a task keeps from one run of texts to the next; it starts afresh beyond that, and at its end.
 CACHED = 64 << 20
-#: One in so many texts is encoded by the original as a whole, besides those that fail the round trip.
-WHOLE = 8
 MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -188,41 +185,35 @@ class Piece:
     @staticmethod
     def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return np.fromiter((i for r in rows for i in r), np.int32, off[-1]), off
+        return np.fromiter(chain.from_iterable(rows), np.int32, off[-1]), off
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-        """(ids of all texts, row pointers, whether a row has the ids of the original library, whether whole texts were
-        compared)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, row pointers)."""
         data, offsets = textnum.buffers(texts)
         marked = len(data) > 2 and bool(((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)).any())
         if not self.by_word or marked:
-            rows = texts.fill_null("").to_pylist()
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
-            same = np.array([a == b for a, b in zip(ids, self.original.encode(rows, num_threads=1))], bool)
-            return *self._flat(ids), same, True
-        return *self._by_word(data, offsets), False
+            return self._flat([e.ids for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)])
+        return self._by_word(data, offsets)
+
+    def parity(self, texts: list[str], ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which texts have the ids that the original library gives to them, whole."""
+        theirs, ends = self._flat(self.original.encode(texts, num_threads=1))
+        out = np.diff(ends) == np.diff(rows)
+        for i in np.flatnonzero(out):
+            out[i] = np.array_equal(ids[rows[i] : rows[i + 1]], theirs[ends[i] : ends[i + 1]])
+        return out
 
     def forget(self) -> None:
-        """Known words: the position of each, and by position its ids and whether they are the original's."""
+        """Known words: the position of each, and by position its ids."""
         self.known: dict[bytes, int] = {}
         self.kept = 0
-        self.flat, self.ends, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [k.decode() for k in new]
-        ids, ends = self._ids(texts)
-        sizes, theirs = np.diff(ends), self._of_words(texts)
-        same = sizes == np.fromiter(map(len, theirs), np.int64, len(theirs))
-        flat = np.fromiter(chain.from_iterable(theirs), np.int32)
-        if same.all():
-            wrong = np.concatenate([[0], np.cumsum(flat != ids)])
-            same = wrong[ends[1:]] == wrong[ends[:-1]]
-        else:
-            same = np.array([ids[a:b].tolist() == x for a, b, x in zip(ends[:-1], ends[1:], theirs)], bool)
-        self.known.update(zip(new, range(len(self.same), len(self.same) + len(new))))
+        ids, ends = self._ids([k.decode() for k in new])
+        self.known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
         self.flat = np.concatenate([self.flat, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + ends[1:]])
-        self.same = np.concatenate([self.same, same])
         self.kept += sum(map(len, new)) + 4 * len(ids) + 150 * len(new)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -239,8 +230,8 @@ class Piece:
                 return ids, np.concatenate([[0], cut + 1])
         return self._flat([e.ids for e in self.plain.encode_batch_fast([w.replace(" ", MARK) for w in words], add_special_tokens=False)])
 
-    def _by_word(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every distinct word (spaces and what follows them) is encoded, and held against the original, once."""
+    def _by_word(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every distinct word (spaces and what follows them) is encoded once."""
         space = data == 32
         first = space.copy()
         first[1:] &= ~space[:-1]
@@ -249,7 +240,7 @@ class Piece:
         start = np.flatnonzero(first)
         rows = np.searchsorted(start, offsets)
         if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.ones(len(offsets) - 1, bool)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data))), pa.py_buffer(data)]).dictionary_encode()
         leads = np.zeros(len(start), bool)
         leads[np.searchsorted(start, heads)] = True  # these get one more marker
@@ -270,13 +261,7 @@ class Piece:
         n = np.diff(self.ends)[place]
         to = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.arange(to[-1]) + np.repeat(self.ends[:-1][place] - to[:-1], n)]
-        bad = np.concatenate([[0], np.cumsum(~self.same[place])])
-        return ids, to[rows], bad[rows[1:]] == bad[rows[:-1]]
-
-    def _of_words(self, words: list[str]) -> list[list[int]]:
-        """The original's ids; it puts the first marker itself, but not before nothing."""
-        out = self.original.encode([w[1:] for w in words], num_threads=1)
-        return [[self.original.piece_to_id(MARK)] if w == " " else x for w, x in zip(words, out)]
+        return ids, to[rows]
 
     def decode(self, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
         """Texts of rows of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -301,13 +286,8 @@ def load(path: str) -> Piece:
     return Piece(path)
 
 
-def whole(texts: list[str | None], every: int = WHOLE) -> np.ndarray:
-    """Which texts the original encodes as a whole: one in `every`, by a checksum of the text."""
-    return np.array([t is not None and zlib.crc32(t.encode("utf-8", "surrogatepass")) % every == 0 for t in texts], bool)
-
-
 def _encode(path: str, threads: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("parity", pa.bool_()), ("parity_of", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()), ("parity", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["RAYON_NUM_THREADS"] = str(threads)
@@ -316,17 +296,11 @@ def _encode(path: str, threads: int):
         for batch in batches:
             for part in textnum.pieces(batch, "text", 2 << 20):
                 texts = part.column(1)
-                ids, rows, same, full = p.encode(texts)
-                plain = texts.to_pylist()
+                null, plain = np.asarray(texts.is_null()), texts.fill_null("").to_pylist()
+                ids, rows = p.encode(texts)
                 equal = np.array([a == b for a, b in zip(p.decode(ids, rows).to_pylist(), plain)], bool)
-                null = np.asarray(texts.is_null())
-                text = np.full(len(plain), full)
-                if not full:
-                    text = (whole(plain) | ~equal | ~same) & ~null
-                    for i in np.flatnonzero(text).tolist():
-                        same[i] = np.array_equal(ids[rows[i] : rows[i + 1]], p.original.encode(plain[i]))
                 lists = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array(null))
-                cols = [pa.array(c, mask=null) for c in (np.diff(rows).astype(np.int32), equal, same, np.where(text, "text", "words"))]
+                cols = [pa.array(c, mask=null) for c in (np.diff(rows).astype(np.int32), equal, p.parity(plain, ids, rows))]
                 yield pa.RecordBatch.from_arrays([part.column(0), cols[0], lists, *cols[1:]], schema=schema)
         p.forget()
         textnum.give_back()
@@ -335,17 +309,14 @@ def _encode(path: str, threads: int):
 
 
 def encode_documents(documents: DataFrame, model: str = MODEL, threads: int = 2) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip, parity, parity_of) for every row. round_trip: decoding gives the text again;
-    parity: the ids are those of the original library. Where words can't be told apart, whole texts are held against it
-    (parity_of is `text`). Else every distinct word is, which proves the text's ids as no piece crosses a word's marker
-    (parity_of is `words`), and besides, as a whole, every text that fails the round trip or has a word that differs, and
-    one in WHOLE of the rest by checksum (parity_of is `text`).
+    """(doc_id, n_tokens, ids, round_trip, parity) for every row. round_trip: decoding gives the text again; parity: the
+    original library gives the whole text the same ids, tried for every text.
 
     Defined results. A null text has nulls; an empty one no ids; a null doc_id stays null; repeated rows repeat. Very long
     texts, and words of any length, are encoded whole, in one task. There are no ties. Strings that look like special
     tokens are ordinary text. Other columns are not read, so their names can't clash. An empty table gives an empty result."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_encode(model, threads), "doc_id long, n_tokens int, ids array<int>, round_trip boolean, parity boolean, parity_of string")
+    return docs.mapInArrow(_encode(model, threads), "doc_id long, n_tokens int, ids array<int>, round_trip boolean, parity boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

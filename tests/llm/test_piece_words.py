@@ -1,6 +1,5 @@
 """Words that a hash might confuse, words of any length, and what parity says."""
 
-import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -18,21 +17,23 @@ def thue_morse(n: int) -> tuple[str, str]:
     return x[:n], x[:n].translate(str.maketrans("ab", "ba"))
 
 
+def same(p, texts) -> bool:
+    """Whether the ids are the original's, found here and by parity()."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    ids, rows = p.encode(pa.array(texts))
+    plain = [t or "" for t in texts]
+    return [ids[i:j].tolist() for i, j in zip(rows[:-1], rows[1:])] == sp.encode(plain) and p.parity(plain, ids, rows).all()
+
+
 @pytest.mark.parametrize("n", [1024, 2048, 4096])
 def test_thue_morse_words(n):
     a, b = thue_morse(n)
-    sp, p = sentencepiece.SentencePieceProcessor(model_file=P.MODEL), P.load(P.MODEL)
-    ids, rows, same, _ = p.encode(pa.array([a, b, f"x {a}", f"x {b}"]))
-    assert [ids[i:j].tolist() for i, j in zip(rows[:-1], rows[1:])] == sp.encode([a, b, f"x {a}", f"x {b}"]) and same.all()
+    assert same(P.load(P.MODEL), [a, b, f"x {a}", f"x {b}"])
     assert len(set(textnum.words(pa.array([a, b])).hash().tolist())) == 2
 
 
 def test_words_of_a_megabyte_and_runs_of_spaces():
-    p, sp = P.Piece(P.MODEL), sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
-    texts = ["ab" * 300_000, "one   two    three", "   ", prose(3, 40_000), "", None, "  x"]
-    ids, rows, same, _ = p.encode(pa.array(texts))
-    for i, t in enumerate(texts):
-        assert ids[rows[i] : rows[i + 1]].tolist() == sp.encode(t or "") and same[i]
+    assert same(P.Piece(P.MODEL), ["ab" * 300_000, "one   two    three", "   ", prose(3, 40_000), "", None, "  x"])
 
 
 def test_starting_afresh_changes_nothing(monkeypatch):
@@ -44,25 +45,15 @@ def test_starting_afresh_changes_nothing(monkeypatch):
 
 
 def test_parity_can_fail(monkeypatch):
-    """Another model as the original: words differ, whole texts are compared, and parity is false."""
+    """With another model as the original, parity is false."""
     p = P.Piece(P.MODEL)
 
     class Other:
-        def encode(self, x, **_):
-            return [[1, 2, 3] for _ in x] if isinstance(x, list) else [1, 2, 3] * bool(x)
-
-        def piece_to_id(self, x):
-            return 7
+        def encode(self, texts, **_):
+            return [[1, 2, 3] * bool(t) for t in texts]
 
     p.original = Other()
     monkeypatch.setattr(P, "load", lambda _: p)
     batch = pa.record_batch({"doc_id": pa.array([1, 2, 3]), "text": pa.array(["old mills and farms", None, ""])})
     out = pa.Table.from_batches(list(P._encode(P.MODEL, 1)(iter([batch])))).to_pylist()
-    assert [r["parity"] for r in out] == [False, None, True] and out[0]["parity_of"] == "text" and out[1]["parity_of"] is None
-
-
-def test_what_parity_is_of(spark):
-    rows = [(i, prose(i, 30)) for i in range(200)]
-    got = P.encode_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    full = P.whole([t for _, t in rows])
-    assert all(r.parity for r in got) and {r.doc_id for r in got if r.parity_of == "text"} == set(np.flatnonzero(full).tolist()) and 5 < full.sum() < 80
+    assert [r["parity"] for r in out] == [False, None, True] and [r["ids"] is None for r in out] == [False, True, False]
