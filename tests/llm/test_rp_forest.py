@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from arcweave.llm import rp_forest as R
 
@@ -39,6 +40,44 @@ def test_recall_with_upper_levels(spark):
         assert all(true.get(k) is not None for k in got)  # nothing that has no near one
 
 
+def test_leaves_are_bounded_also_for_equal_and_scaled_points(monkeypatch):
+    rng, sizes = np.random.default_rng(5), []
+    whole = R.leaf_edges
+    monkeypatch.setattr(R, "leaf_edges", lambda x, similar: (sizes.append(len(x)), whole(x, similar))[1])
+    v = rng.standard_normal(8)
+    x = np.outer(rng.uniform(0.1, 9, 3000), v)
+    for points in (x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((3000, 4)) / 2):
+        a, b, _ = R.cell_edges(np.arange(3000), points.astype(np.float32), [1, 2, 3], 64, 0.05, 0.9)
+        assert max(sizes) <= 64 and set(groups(zip(a.tolist(), b.tolist())).values()) == {0}
+
+
+def test_scaled_copies_and_a_mean_direction(spark):
+    """A hot vector in a thousand scales, and vectors that all lean to one side: recall is measured and reached."""
+    rng = np.random.default_rng(6)
+    mean = rng.standard_normal(24)
+    mean *= 1.5 / np.linalg.norm(mean)
+    base = mean + rng.standard_normal((3000, 24)) / np.sqrt(24)
+    near = base[:1000] + rng.standard_normal((1000, 24)) * 0.35 / np.sqrt(24)
+    x = np.concatenate([base, near, np.outer(rng.uniform(0.5, 5, 1000), base[7])]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    want = brute(x.astype(float), 0.97)
+    pairs, group, recall = R.measured(df, trees=2, leaf=64, cell=512, similar=0.97, queries=1000)
+    got = {r.id: r.group for r in group.collect()}
+    met = sum(got.get(a, -1) == got.get(b, -2) for a, b in want) / len(want)
+    assert met >= 0.9 and recall[-1] >= R.RECALL and len(want) > 10_000
+    away = [(a, b) for a, b in want if a < 3000 <= b < 4000]
+    assert sum(got.get(a, -1) == got.get(b, -2) for a, b in away) >= 0.9 * len(away) > 90
+
+
+def test_short_recall_is_an_error(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((400, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, base * 1.0 + 0.01 * rng.standard_normal((400, 8)).astype(np.float32)]))], SCHEMA)
+    monkeypatch.setattr(R, "MORE", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        R.near_duplicates(df, trees=1, leaf=4, spill=0.0, recall=1.0).count()
+
+
 def test_leaf_edges_span_groups():
     rng = np.random.default_rng(4)
     x = np.repeat(rng.standard_normal((5, 8)), 6, axis=0) + 0.02 * rng.standard_normal((30, 8))
