@@ -1,13 +1,17 @@
 """Secrets in texts: an Aho-Corasick automaton over the keywords of all rules reads each whole text once; only near its
-hits a rule's regular expression is tried, anchored where the keyword stands; what matches must pass the rule's check:
-the checksum that GitHub and npm tokens carry (CRC32 in base 62), the decodable header of a JWT, the Base32 account of an
-AWS key id, Base64 lines of a private key, or, where a format carries no checksum, enough different characters.
-
-Defined results. Null and empty texts have no findings and stay as they are; a null doc_id stays null; repeated rows
-repeat their findings. Of findings that overlap, the one that begins first stays, then the longest, then the first rule
-by name. Positions are characters, ends excluded. redact() keeps every row and column, whatever the columns' names; it
-replaces each finding by [SECRET:rule] and counts n_chars, if there is such a column, anew in the changed rows.
-An empty table gives an empty result.
+hits a rule's regular expression is tried, anchored where the keyword stands; what matches must pass the rule's check.
+What vouches for a finding is its evidence: `checksum`, the CRC32 in base 62 that GitHub and npm tokens carry; `structure`,
+the decodable header of a JWT, the Base32 account of an AWS key id or the Base64 lines of a private key; or `variety`,
+where a format carries neither: enough different characters, more of them where the value isn't quoted.
+
+Secrets may be of any length, and the time is linear in the text: no two hits read the same run of characters for the same
+rule (see Rule.before), and a private key ends at the first dashes after its head.
+
+Defined results. Null and empty texts have no findings and stay as they are; very long texts are read whole, in one task,
+with some 4 bytes of memory a byte; a null doc_id stays null; repeated rows repeat their findings. Of findings that
+overlap, the one that begins first stays, then the longest, then the first rule by name. Positions are characters, ends
+excluded. redact() keeps every row and column, whatever the columns' names; it replaces each finding by [SECRET:rule] and
+counts n_chars, if there is such a column, anew in the changed rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,57 +42,82 @@ def crc_base62(body: bytes) -> bytes:
     return out.encode()
 
 
-def _crc(m: re.Match) -> bool:
+def _crc(m: re.Match) -> int:
     body = m[0].rpartition(b"_")[2]
-    return crc_base62(body[:-6]) == body[-6:]
+    return m.end() * (crc_base62(body[:-6]) == body[-6:])
 
 
-def _jwt(m: re.Match) -> bool:
+def _jwt(m: re.Match) -> int:
     try:
         parts = [base64.urlsafe_b64decode(x + b"=" * (-len(x) % 4)) for x in m[0].split(b".")[:2]]
-        return "alg" in json.loads(parts[0]) and isinstance(json.loads(parts[1]), dict)
-    except (ValueError, TypeError):
-        return False
+        return m.end() * ("alg" in json.loads(parts[0]) and isinstance(json.loads(parts[1]), dict))
+    except (ValueError, TypeError, RecursionError):
+        return 0
 
 
-def _aws(m: re.Match) -> bool:
+def _aws(m: re.Match) -> int:
     """The 40 bits after the prefix hold the account, of 12 digits at most."""
-    return (int.from_bytes(base64.b32decode(m[0][4:]), "big") >> 39) & ((1 << 40) - 1) < 10**12
+    return m.end() * ((int.from_bytes(base64.b32decode(m[0][4:]), "big") >> 39) & ((1 << 40) - 1) < 10**12)
 
 
-def _pem(m: re.Match) -> bool:
+def _pem(m: re.Match) -> int:
+    """From the head to the next dashes, which must be those of its end; between them header lines, if any, and Base64."""
+    raw = m.string
+    stop = raw.find(b"-----", m.end())
+    tail = b"-----END " + m[1] + b"PRIVATE KEY-----"
+    if stop < 0 or not raw.startswith(tail, stop):
+        return 0
+    lines = [x for x in raw[m.end() : stop].split(b"\n") if b": " not in x]
     try:
-        return len(base64.b64decode(b"".join(m[2].split()), validate=True)) >= 16
+        return (stop + len(tail)) * (len(base64.b64decode(b"".join(b"".join(lines).split()), validate=True)) >= 16)
     except ValueError:
-        return False
+        return 0
 
 
-def _varied(m: re.Match) -> bool:
-    """No checksum in the format: digits and letters, and at least 8 different characters in the secret part."""
-    s = m[m.lastindex or 0]
-    return len(set(s)) >= 8 and any(48 <= c <= 57 for c in s) and any(c > 64 for c in s)
+def _mixed(s: bytes, different: int, digits: int) -> bool:
+    return len(set(s)) >= different and sum(48 <= c <= 57 for c in s) >= digits and any(c > 64 for c in s)
+
+
+def _varied(m: re.Match) -> int:
+    """Digits and letters, and at least 8 different characters in the secret part."""
+    return m.end() * _mixed(m[m.lastindex or 0], 8, 1)
+
+
+def _bare(m: re.Match) -> int:
+    """A value without quotes: 12 different characters, 2 digits, small and capital letters or hexadecimal digits alone."""
+    s = m[1]
+    cased = s.lower() != s and s.upper() != s
+    return m.end() * (_mixed(s, 12, 2) and (cased or not s.strip(b"0123456789abcdef")))
 
 
 class Rule(NamedTuple):
+    """check gives the end of what matched, or 0. No match may begin after a character of the class before: a run is then
+    tried from its start alone."""
+
     name: str
     keywords: tuple[str, ...]
     pattern: str
-    check: Callable[[re.Match], bool]
-    checksum: bool
+    check: Callable[[re.Match], int]
+    evidence: str
+    before: str = ""
 
 
 _END = r"(?![A-Za-z0-9_])"
+_NAMES = ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "private_key")
+_NAME = r"""(?i:token|secret|passw(?:or)?d|(?:api[_-]?|access_|private_)key)"""
+_ALNUM = "[A-Za-z0-9]"
 RULES = [
-    Rule("assigned_secret", ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "private_key"), r"""(?i:token|secret|passw(?:or)?d|(?:api[_-]?|access_|private_)key)["']?[ \t]{0,4}(?:=|:|=>|:=)[ \t]{0,4}(["'])([A-Za-z0-9+/_=.\-]{16,512})\1""", _varied, False),
-    Rule("aws_key_id", ("akia", "asia"), r"(?:AKIA|ASIA)[A-Z2-7]{16}" + _END, _aws, True),
-    Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}" + _END, _crc, True),
-    Rule("gitlab_token", ("glpat-",), r"glpat-([A-Za-z0-9_\-]{20})" + _END, _varied, False),
-    Rule("google_key", ("aiza",), r"AIza([A-Za-z0-9_\-]{35})" + _END, _varied, False),
-    Rule("jwt", ("eyj",), r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", _jwt, True),
-    Rule("npm_token", ("npm_",), r"npm_[A-Za-z0-9]{36}" + _END, _crc, True),
-    Rule("private_key", ("-----begin",), r"-----BEGIN ((?:[A-Z]+ )?)PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----", _pem, True),
-    Rule("slack_token", ("xox",), r"xox[abeprs]-([A-Za-z0-9\-]{20,250})", _varied, False),
-    Rule("stripe_key", ("sk_live_", "rk_live_"), r"[sr]k_live_([A-Za-z0-9]{20,250})" + _END, _varied, False),
+    Rule("assigned_secret", _NAMES, _NAME + r"""["']?[ \t]{0,4}(?:=|:|=>|:=)[ \t]{0,4}(["'])([A-Za-z0-9+/_=.\-]{16,})\1""", _varied, "variety"),
+    Rule("assigned_value", _NAMES, _NAME + r"""[ \t]{0,4}[:=][ \t]{0,4}([A-Za-z0-9+/_.\-]{20,}={0,2})(?![^\s;,])""", _bare, "variety"),
+    Rule("aws_key_id", ("akia", "asia"), r"(?:AKIA|ASIA)[A-Z2-7]{16}" + _END, _aws, "structure", _ALNUM),
+    Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}" + _END, _crc, "checksum", _ALNUM),
+    Rule("gitlab_token", ("glpat-",), r"glpat-([A-Za-z0-9_\-]{20})" + _END, _varied, "variety"),
+    Rule("google_key", ("aiza",), r"AIza([A-Za-z0-9_\-]{35})" + _END, _varied, "variety"),
+    Rule("jwt", ("eyj",), r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", _jwt, "structure", r"[A-Za-z0-9_.\-]"),
+    Rule("npm_token", ("npm_",), r"npm_[A-Za-z0-9]{36}" + _END, _crc, "checksum", _ALNUM),
+    Rule("private_key", ("-----begin",), r"-----BEGIN ((?:[A-Z0-9]{1,32} ){0,3})PRIVATE KEY-----", _pem, "structure"),
+    Rule("slack_token", ("xox",), r"xox[abeprs]-([A-Za-z0-9\-]{20,})", _varied, "variety", r"[A-Za-z0-9\-]"),
+    Rule("stripe_key", ("sk_live_", "rk_live_"), r"[sr]k_live_([A-Za-z0-9]{20,})" + _END, _varied, "variety", _ALNUM),
 ]
 
 
@@ -100,25 +129,24 @@ def _machine():
     by_word: dict[str, list] = {}
     for rule in RULES:
         for k in rule.keywords:
-            by_word.setdefault(k, []).append((len(k), rule, re.compile(rule.pattern.encode())))
+            by_word.setdefault(k, []).append((len(k), rule, re.compile(rule.pattern.encode()), re.compile(rule.before.encode()) if rule.before else None))
     for k, v in by_word.items():
         out.add_word(k, v)
     out.make_automaton()
     return out
 
 
-def scan(text: str) -> list[tuple[int, int, str, bool, str]]:
-    """(start, end, rule, whether a checksum vouches for it, fingerprint) of each finding, by position."""
+def scan(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, rule, evidence, fingerprint) of each finding, by position."""
     raw = text.encode("utf-8", "surrogatepass")
     found = []
     for last, rules in _machine().iter(raw.lower().decode("latin-1")):
-        for n, rule, pattern in rules:
+        for n, rule, pattern, before in rules:
             start = last - n + 1
-            if rule.checksum and start and raw[start - 1 : start].isalnum():
+            if before and start and before.match(raw, start - 1):
                 continue
-            m = pattern.match(raw, start)
-            if m and rule.check(m):
-                found.append((m.start(), m.end(), rule))
+            if (m := pattern.match(raw, start)) and (end := rule.check(m)):
+                found.append((start, end, rule))
     out, done, at, chars = [], 0, 0, 0
     for a, b, rule in sorted(set(found), key=lambda f: (f[0], -f[1], f[2].name)):
         if a < done:
@@ -126,23 +154,23 @@ def scan(text: str) -> list[tuple[int, int, str, bool, str]]:
         chars += len(raw[at:a].decode("utf-8", "surrogatepass"))
         at = done = b
         n = len(raw[a:b].decode("utf-8", "surrogatepass"))
-        out.append((chars, chars + n, rule.name, rule.checksum, hashlib.sha256(raw[a:b]).hexdigest()[:16]))
+        out.append((chars, chars + n, rule.name, rule.evidence, hashlib.sha256(raw[a:b]).hexdigest()[:16]))
         chars += n
     return out
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("rule", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("checksum", pa.bool_()), ("fingerprint", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("rule", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("checksum", pa.bool_()), ("evidence", pa.string()), ("fingerprint", pa.string())])
     for batch in batches:
         for part in textnum.pieces(batch, "text"):
-            rows = [(d, rule, a, b, ok, mark) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t for a, b, rule, ok, mark in scan(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, schema.types)], schema=schema)
+            rows = [(d, rule, a, b, proof == "checksum", proof, mark) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t for a, b, rule, proof, mark in scan(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, schema.types)], schema=schema)
 
 
 def find_secrets(documents: DataFrame) -> DataFrame:
-    """(doc_id, rule, start_char, end_char, checksum, fingerprint), one row for each secret; never the secret itself."""
+    """(doc_id, rule, start_char, end_char, checksum, evidence, fingerprint), one row for each secret; never the secret itself."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_find, "doc_id long, rule string, start_char long, end_char long, checksum boolean, fingerprint string")
+    return docs.mapInArrow(_find, "doc_id long, rule string, start_char long, end_char long, checksum boolean, evidence string, fingerprint string")
 
 
 def _redacted(text: str) -> str:
