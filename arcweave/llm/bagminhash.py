@@ -8,13 +8,15 @@ Each point carries one of M signature components; a component keeps the earliest
 agree in a component with the probability of their weighted Jaccard similarity, exactly. Points come in order of time and
 a document stops when the next is later than its latest component, so n tokens cost n + M log M points.
 
-Identical texts are one document from the start. Signatures are cut into BANDS bands; in each bucket every document is
-paired with the bucket's first and with the one before it, pairs whose signatures agree too little are dropped, and the
-multisets of the rest are compared exactly. Pairs of at least SIMILAR are joined to groups. Then all pairs of a bucket that
-aren't in one group yet are compared in the same way, so the groups are those of all pairs in all buckets.
+Identical texts are one document from the start. Signatures are cut into BANDS bands; in each bucket, parted by a hash,
+every document is paired with its part's first and with the one before it, and so are the parts' first documents; pairs
+whose signatures agree too little are dropped, and the multisets of the rest are compared exactly. Pairs of at least
+SIMILAR are joined to groups. Then all pairs of a bucket that aren't in one group yet are compared in the same way, so the
+groups are those of all pairs in all buckets.
 
 Defined results. A null text or null doc_id takes no part; an empty text, or one with no word, equals only texts that are
-identical to it. A text with fewer than GRAM words is one token. Rows that repeat a doc_id are one document, and stay or
+identical to it. A text with fewer than GRAM words is one token. A very long text is one row of one task, which needs some
+12 bytes a byte of it. Equal similarities aren't told apart; the group doesn't depend on them. Rows that repeat a doc_id are one document, and stay or
 go together. The group is named by, and keeps, its smallest doc_id. An empty table gives an empty result. Other columns
 are not read, so their names can't clash.
 """
@@ -36,6 +38,8 @@ BANDS = 40
 ROWS = 4
 SIMILAR = 0.5
 SLACK = 0.15
+#: Parts of a bucket.
+SALTS = 64
 U = textnum.U
 
 
@@ -169,6 +173,19 @@ def _verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, gram: int, s
     return checked
 
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: every document of a bucket (doc, band) with the first and the one before it. A bucket is divided by a
+    hash of the document into SALTS parts, whose first documents then meet, so that no task has the whole of a hot one."""
+
+    def seats(rows: DataFrame, *parts: str) -> DataFrame:
+        by = Window.partitionBy("band", *parts).orderBy("doc")
+        return rows.withColumns({"head": F.first("doc").over(by.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lag("doc").over(by)})
+
+    part = util.materialize(seats(rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(SALTS))), "part"), "seats")
+    both = part.unionByName(seats(part.where("doc = head").select("doc", "band", "part")))
+    return both.where("head < doc").select(F.explode(F.array_distinct(F.array("head", "last"))).alias("a"), F.col("doc").alias("b")).where("a < b").distinct()
+
+
 def near_pairs(documents: DataFrame, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
     """(copies, pairs): exact copies (a, b), b > a the first document with that text; and verified pairs
     (a, b, similarity) among the first documents of each text."""
@@ -179,11 +196,8 @@ def near_pairs(documents: DataFrame, gram: int = GRAM, bands: int = BANDS, rows:
     copies = util.materialize(lean.join(copied, "sum").where("doc > a").select("a", F.col("doc").alias("b")).distinct(), "copies")
     signed = util.materialize(docs.mapInArrow(_sign(gram, bands, rows), "doc long, sig binary, bands array<long>"), "signatures")
     alone = signed.join(copies.select(F.col("b").alias("doc")).distinct(), "doc", "left_anti")  # signatures move, not texts
-    by = Window.partitionBy("band").orderBy("doc")
     rows_of = alone.select("doc", F.explode("bands").alias("band"))
-    seats = rows_of.withColumns({"head": F.first("doc").over(by.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lag("doc").over(by)})
-    star = seats.where("head < doc").select(F.explode(F.array_distinct(F.array("head", "last"))).alias("a"), F.col("doc").alias("b")).where("a < b").distinct()
-    star = util.materialize(star, "pairs")
+    star = util.materialize(_stars(rows_of), "pairs")
     checked = _verified(docs, signed, star, gram, similar, slack)
     group = util.components(checked)
     held = rows_of.join(group.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "band", F.coalesce("group", "doc").alias("group"))

@@ -7,7 +7,8 @@ last one stood) then stitches documents that span blocks, however many. The scan
 pack() writes such files from a table of texts, with a manifest that names the documents in their order.
 
 Defined results. Adjacent separators bound an empty document of 0 tokens; an empty text is one. Tokens after the last
-separator are a document whose column terminated is false; an empty file has none. A null text isn't packed (there is no
+separator are a document whose column terminated is false; an empty file has none. A very long document spans as many
+blocks as it needs; one text is encoded in one task. Files and positions are unique, so there are no ties. A null text isn't packed (there is no
 document to count), a null doc_id is carried along, repeated rows are packed as often as they come. Files whose length is
 no multiple of the token width are an error. Other columns are not read. An empty table gives an empty result.
 """
@@ -45,12 +46,6 @@ def encoding(path: str):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{os.path.abspath(path)}")
-
-
 def pack(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, separator: int = SEPARATOR, width: int = WIDTH) -> DataFrame:
     """Write the texts' tokens to flat files in folder, one a partition, each document ended by the separator.
     Returns the manifest (file, position, doc_id), materialised. A task writes to its own name and renames when it is
@@ -62,7 +57,7 @@ def pack(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, separa
         schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("doc_id", pa.int64())])
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}.tok"
-        system, root = _open(folder)
+        system, root = util.open_folder(folder)
         system.create_dir(root, recursive=True)
         trial = posixpath.join(root, f".{name}.{task.taskAttemptId()}")
         enc, kind, at = encoding(vocabulary), np.dtype(f"<u{width}"), 0
@@ -86,7 +81,7 @@ def separators(tokens: np.ndarray, separator: int) -> np.ndarray:
 
 def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """(file, position, start_token, n_tokens, terminated) of every document in the folder's token files."""
-    system, root = _open(folder)
+    system, root = util.open_folder(folder)
     from pyarrow import fs
 
     listed = [f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.is_file and not f.base_name.startswith((".", "_"))]
@@ -99,7 +94,7 @@ def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("tokens", pa.int64()), ("ends", pa.list_(pa.int64()))])
-        system, root = _open(folder)
+        system, root = util.open_folder(folder)
         for batch in batches:
             for file, tokens, k in zip(*(c.to_pylist() for c in batch.columns)):
                 with system.open_input_file(posixpath.join(root, file)) as f:

@@ -1,144 +1,143 @@
-"""Tables in the folder that all executors share, and connected components."""
+"""Rows of a table by their key without moving them, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import os
+import posixpath
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-#: Bits of the largest bitmap that among() and without() give to every task: 8 MB.
-FILTER_BITS = 1 << 26
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary one; a cluster
-    must name it, because a folder of one machine is lost with that machine."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="arcweave-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._arcweave_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    if path := getattr(df, "_arcweave_path", None):
-        _delete(df.sparkSession, path)
-        df._arcweave_path = None
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        if spark.sparkContext._jsc is None:
-            continue
-        try:
-            _delete(spark, path)
-        except Exception as e:  # the JVM may have gone first
-            print(f"left behind {path}: {type(e).__name__}")
-
-
-def _marked(rows: DataFrame, ids: DataFrame, key: str, most: int):
-    """A function that keeps the rows whose hashed key is marked (or isn't) in a bitmap of ids, 16 bits an id or more, at
-    most `most` in all; None where that would mark most rows by chance."""
-    spark, n = rows.sparkSession, ids.count()
-    bits = min(1 << max(10, (16 * n).bit_length()), most)
-    if 2 * n > bits:
-        return None
-    spot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits).cast("long"))
-    held = ids.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 AS int)))").alias("bits")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
-    words[held["word"].to_numpy()] = held["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(words)
-    name = "__spot"
-    while name in rows.columns:
-        name += "_"
 
-    def keep(marked: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value.view(np.uint64)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):  # small batches back: rows may hold long texts
-                    part = batch.slice(at, 256)
-                    s = part.column(part.num_columns - 1).to_numpy()
-                    on = (table[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
-                    kept = part.filter(pa.array(on.astype(bool) == marked))
-                    if kept.num_rows:
-                        yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
-                pa.default_memory_pool().release_unused()
+from arcweave.storage import materialize, new_path, release, shared_dir  # noqa: F401
+
+
+def open_folder(path: str):
+    """(file system, path in it) of a folder named by a path or a URI."""
+    from pyarrow import fs
 
-        return rows.withColumn(name, spot).mapInArrow(run, rows.schema)
+    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
-    return keep
 
+def write_whole(system, path: str, data: bytes, attempt: int) -> None:
+    """A file that is there as a whole or not at all, also where a task is tried again or twice at once."""
+    trial = posixpath.join(posixpath.dirname(path), f".{posixpath.basename(path)}.{attempt}")
+    with system.open_output_stream(trial) as out:
+        out.write(data)
+    system.move(trial, path)
 
-def among(rows: DataFrame, ids: DataFrame, key: str, most: int = FILTER_BITS) -> DataFrame:
-    """rows without most of those whose key isn't in ids (distinct, with that one column), so that an equality join that
-    follows has few rows to move; what passes by chance is left to it. Ids too many for a bitmap are joined here."""
-    keep = _marked(rows, ids, key, most)
-    return keep(True) if keep else rows.join(ids, key, "left_semi")
+
+def _free(rows: DataFrame, name: str) -> str:
+    while name in rows.columns:
+        name += "_"
+    return name
 
 
-def without(rows: DataFrame, ids: DataFrame, key: str, most: int = FILTER_BITS) -> DataFrame:
-    """rows whose key isn't in ids (distinct, with that one column), exactly. Only rows that a bitmap marks are joined, the
-    rest stay where they are. Ids too many for a bitmap are joined with all rows. A null key stays."""
-    gone = ids.select(F.col(key).alias("__gone"))
-    anti = lambda df: df.join(gone, df[key].cast("long") == gone["__gone"], "left_anti")
-    keep = _marked(rows, ids, key, most)
-    return keep(False).unionByName(anti(keep(True))) if keep else anti(rows)
+def _marks(rows: DataFrame, ids: DataFrame, key: str) -> str | None:
+    """A folder with a bitmap for each file of rows, one bit a row, set where the row's key is among ids; None where rows
+    don't come straight from files that number their rows. Ids and row numbers move, nothing else of the rows does."""
+    if "_metadata" in rows.columns:
+        return None
+    try:
+        at = rows.select(F.md5(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"), F.col(key).cast("long").alias("key"))
+    except AnalysisException:
+        return None
+    folder = new_path(rows.sparkSession, "marks")
+    hit = at.join(ids.select(F.col(key).cast("long").alias("key")), "key", "left_semi")
+    words = hit.groupBy("file", F.expr("row div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(row % 64 AS int)))").alias("bits"))
+    held = words.groupBy("file").agg(F.collect_list(F.struct("word", "bits")).alias("words"))  # a word for 64 rows of one file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, root = open_folder(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flat = batch.column(1)[i].values
+                word = flat.field("word").to_numpy()
+                bits = np.zeros(int(word.max()) + 1, "<i8")
+                bits[word] = flat.field("bits").to_numpy()
+                write_whole(system, posixpath.join(root, batch.column(0)[i].as_py()), bits.tobytes(), TaskContext.get().taskAttemptId())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["file"])
+
+    held.mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _chosen(rows: DataFrame, folder: str, marked: bool) -> DataFrame:
+    """The rows whose bit is set, or isn't; all columns as they were."""
+    file, row = _free(rows, "__file"), _free(rows, "__row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = open_folder(folder)
+
+        @lru_cache(2)
+        def bits(name: str) -> np.ndarray:
+            path = posixpath.join(root, name)
+            if not system.get_file_info(path).is_file:
+                return np.zeros(0, np.uint64)
+            with system.open_input_stream(path) as f:
+                return np.frombuffer(f.read(), np.uint64)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # small batches back: rows may hold long texts
+                part = batch.slice(at, 256)
+                names, spot = part.column(part.num_columns - 2), part.column(part.num_columns - 1).to_numpy()
+                on = np.zeros(len(spot), bool)
+                for name in names.unique().to_pylist():
+                    mine = np.flatnonzero(names.to_numpy(zero_copy_only=False) == name)
+                    have = bits(name)
+                    inside = mine[spot[mine] >> 6 < len(have)]
+                    s = spot[inside]
+                    on[inside] = (have[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+                kept = part.filter(pa.array(on == marked))
+                if kept.num_rows:
+                    yield pa.RecordBatch.from_arrays(kept.columns[:-2], names=kept.schema.names[:-2])
+            pa.default_memory_pool().release_unused()
+
+    return rows.withColumns({file: F.md5(F.col("_metadata.file_path")), row: F.col("_metadata.row_index")}).mapInArrow(run, rows.schema)
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ids (a table with that one column), exactly. Rows that come straight from Parquet files are
+    found in place by bitmaps of their files, and stay where they are; others are joined. A null key is in no ids."""
+    folder = _marks(rows, ids, key)
+    return _chosen(rows, folder, True) if folder else rows.join(ids, key, "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't in ids, found like those of among(). A null key stays."""
+    folder = _marks(rows, ids, key)
+    if folder:
+        return _chosen(rows, folder, False)
+    gone = ids.select(F.col(key).cast("long").alias("__gone"))
+    return rows.join(gone, rows[key].cast("long") == gone["__gone"], "left_anti")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, group): for every id in edges(a, b), the smallest id that it is connected with.
 
-    Large-star and small-star rounds; each is one shuffle with a window minimum, so an id with very many edges spills
-    but isn't gathered. Rounds grow with the logarithm of the longest chain. Null ends and loops are ignored."""
+    Large-star and small-star rounds. Minima are aggregated before they move and meet their edges in a join, which splits
+    skewed partitions, so an id with very many edges isn't one task's. Rounds grow with the logarithm of the longest
+    chain; more than `rounds` are an error. Null ends and loops are ignored."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = materialize(e, "components")
-    by_u = Window.partitionBy("u")
+    least = lambda df: df.groupBy("u").agg(F.min("v").alias("m"))
     seen = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        m = large.distinct().withColumn("m", F.min("v").over(by_u))
+        large = both.where("v > u").join(least(both), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = materialize(large, "components")
+        m = large.join(least(large), "u")
         small = m.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         new = materialize(small.where("u <> v").distinct(), "components")
         now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        release(large)
         release(e)
         e = new
         if now == seen:
