@@ -11,6 +11,9 @@ from arcweave import storage
 DAMPING = 0.85
 TOLERANCE = 1e-6
 ROUNDS = 100
+#: Nodes of a frontier that a filter names, and visited nodes that the driver reads for a path, at most.
+FEW = 500
+WALK = 100_000
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -30,16 +33,20 @@ def degrees(edges: DataFrame, side: str) -> DataFrame:
     return edges.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("degree"))
 
 
-def offsets(edges: DataFrame, side: str) -> DataFrame:
-    """(id, first): where the neighbours of each id from 0 to the largest begin, and one more row for the end. A running sum
+def offsets(edges: DataFrame, side: str, n: int | None = None) -> DataFrame:
+    """(id, first): where the neighbours of each id from 0 to n - 1 (to the largest) begin, and one more row for the end. A running sum
     within blocks of ids, shifted by the totals of the blocks before, so no task sorts all ids."""
-    top = edges.agg(F.greatest(F.max("src"), F.max("dst")).alias("top"))
-    ids = top.select(F.explode(F.expr("sequence(0L, top div 4096)")).alias("block"), "top").select("block", F.explode(F.expr("sequence(block * 4096, least(block * 4096 + 4095, top))")).alias("id"))
+    spark = edges.sparkSession
+    if n is None:
+        top = edges.agg(F.greatest(F.max("src"), F.max("dst"))).first()[0]
+        n = 0 if top is None else top + 1
+    ids = spark.range(0, n).select(F.expr("id div 4096").alias("block"), "id")
     held = ids.join(degrees(edges, side), "id", "left").select("block", "id", F.coalesce("degree", F.lit(0)).alias("n"))
     total = held.groupBy("block").agg(F.sum("n").alias("n"))
     before = total.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))  # a row per 4,096 ids
     inner = F.sum("n").over(Window.partitionBy("block").orderBy("id")) - F.col("n")
-    return held.withColumn("inner", inner).join(before, "block").select("id", (F.col("base") + F.col("inner")).alias("first")).unionByName(top.select((F.col("top") + 1).alias("id"), F.lit(None).cast("bigint").alias("first")).crossJoin(edges.agg(F.count("*").alias("m"))).select("id", F.col("m").alias("first")))
+    last = edges.agg(F.count("*").alias("first")).select(F.lit(n).cast("bigint").alias("id"), "first")
+    return held.withColumn("inner", inner).join(before, "block").select("id", (F.col("base") + F.col("inner")).alias("first")).union(last)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -76,57 +83,88 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, tolerance: float | None = T
     return rank.select("id", F.col("rank").alias("pagerank"))
 
 
-def levels(edges: DataFrame, source: int, most: int = 10_000) -> DataFrame:
-    """(id, level): steps from source to everything that it reaches."""
-    spark = edges.sparkSession
-    edges = storage.materialize(edges.select("src", "dst"), "edges")
-    seen = front = storage.materialize(spark.createDataFrame([(source, 0)], "id bigint, level int"), "level")
-    for k in range(1, most):
-        new = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(k).alias("level"))
-        front = storage.materialize(new, "level")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+def index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges sorted by source and by target, so that a filter on some nodes reads few row groups."""
+    sorted_ = lambda near, far: storage.materialize(edges.select("src", "dst").repartitionByRange(near).sortWithinPartitions(near, far), "edges")
+    return sorted_("src", "dst"), sorted_("dst", "src")
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, most: int = 10_000) -> list[int]:
-    """The nodes of a shortest directed path, [] if there is none. Both ends search; in each round the smaller frontier grows
-    by a whole level, so the first meeting is a shortest one. Of several parents the smallest id counts, of several
-    meeting points the smallest id. Visited nodes stay in tables; only the path's own nodes come to the driver."""
+def levels(edges: DataFrame, source: int) -> DataFrame:
+    """(id, level): steps from source to everything that it reaches. Levels are appended to one table."""
     spark = edges.sparkSession
-    edges = storage.materialize(edges.select("src", "dst"), "edges")
-    there = edges.where(F.col("src").isin(source, target) | F.col("dst").isin(source, target)).select(F.explode(F.array("src", "dst")).alias("id")).where(F.col("id").isin(source, target)).distinct().count()
-    if there < len({source, target}):
-        return []
-    if source == target:
-        return [source]
-    start = lambda v: storage.materialize(spark.createDataFrame([(v, None, 0)], "id bigint, parent bigint, depth int"), "seen")
-    seen = [start(source), start(target)]
-    front, size, depth = list(seen), [1, 1], [0, 0]
-    ends = (("src", "dst"), ("dst", "src"))
-    while sum(depth) < most:
+    near = storage.materialize(edges.select("src", "dst"), "edges")
+    seen = storage.Growing(spark.createDataFrame([(source, 0)], "id bigint, level int"), "level")
+    k = 0
+    while True:
+        front = seen.read().where(F.col("level") == k)
+        if front.isEmpty():
+            storage.release(near)
+            return seen.read()
+        k += 1
+        met = front.join(near, front["id"] == near["src"]).select(F.col("dst").alias("id")).distinct()
+        seen.add(met.join(seen.read().select("id"), "id", "left_anti").select("id", F.lit(k).alias("level")))
+
+
+def shortest_path(edges: DataFrame | tuple[DataFrame, DataFrame], source: int, target: int) -> list[int]:
+    """The nodes of a shortest directed path, [] if there is none; edges may be those that index() has sorted. Both ends
+    search; in each round the smaller frontier grows by a whole level, so the first meeting is a shortest one. Of several
+    parents the smallest id counts, of several meeting points the smallest id. Visited nodes are appended to a table a side.
+    Frontiers of at most FEW nodes become filters that the sorted edges prune by, larger ones joins; only they and the
+    path's own nodes come to the driver."""
+    near = edges if isinstance(edges, tuple) else index(edges)
+    spark = near[0].sparkSession
+    wanted = F.col("id").isin(source, target)
+    there = near[0].select(F.col("src").alias("id")).where(wanted).unionByName(near[1].select(F.col("dst").alias("id")).where(wanted)).distinct().count()
+    if there < len({source, target}) or source == target:
+        return [source] if there and source == target else []
+    start = lambda v: storage.Growing(spark.createDataFrame([(v, None, 0, None)], "id bigint, parent bigint, depth int, other int"), "seen")
+    seen, front, size, depth, total = [start(source), start(target)], [[source], [target]], [1, 1], [0, 0], [1, 1]
+    ends, met = (("src", "dst"), ("dst", "src")), None
+    while met is None and min(size):
         s = 0 if size[0] <= size[1] else 1
-        near, far = ends[s]
+        own, far = ends[s]
+        old = seen[s].read()
+        if front[s] is None:
+            step = near[s].join(old.where(F.col("depth") == depth[s]).select(F.col("id").alias(own)), own)
+        else:
+            step = near[s].where(F.col(own).isin(front[s]))
         depth[s] += 1
-        new = front[s].select(F.col("id").alias(near)).join(edges, near).groupBy(F.col(far).alias("id")).agg(F.min(near).alias("parent")).join(seen[s], "id", "left_anti").withColumn("depth", F.lit(depth[s]))
-        front[s] = storage.materialize(new, "seen")
-        size[s] = front[s].count()
-        if not size[s]:
-            return []
-        seen[s] = seen[s].unionByName(front[s])
-        met = front[s].select("id").join(seen[1 - s].select("id", F.col("depth").alias("other")), "id").orderBy("other", "id").first()
-        if met:
-            return _walk(seen[0], met["id"])[::-1] + _walk(seen[1], met["id"])[1:]
-    return []
-
-
-def _walk(seen: DataFrame, at: int) -> list[int]:
-    """From a meeting node to the end that this side began from; one lookup a level."""
-    out = [at]
-    while (row := seen.where(F.col("id") == out[-1]).select("parent").first())["parent"] is not None:
-        out.append(row["parent"])
-    return out
+        step = step.groupBy(F.col(far).alias("id")).agg(F.min(own).alias("parent")).join(old.select("id"), "id", "left_anti")
+        step = step.join(seen[1 - s].read().select("id", F.col("depth").alias("other")), "id", "left")
+        seen[s].add(step.select("id", "parent", F.lit(depth[s]).alias("depth"), "other"))
+        new = seen[s].read().where(F.col("depth") == depth[s])
+        some = new.select("other", "id").limit(FEW + 1).collect()
+        if len(some) <= FEW:
+            front[s], size[s] = [r["id"] for r in some], len(some)
+            met = min(((r["other"], r["id"]) for r in some if r["other"] is not None), default=None)
+        else:
+            front[s] = None
+            size[s], met = new.agg(F.count("*"), F.min(F.when(F.col("other").isNotNull(), F.struct("other", "id")))).first()
+        total[s] += size[s]
+    path = _walk(seen[0], met[1], total[0])[::-1] + _walk(seen[1], met[1], total[1])[1:] if met else []
+    for t in seen:
+        t.release()
+    if near is not edges:
+        for t in near:
+            storage.release(t)
+    return path
+
+
+def _walk(seen: storage.Growing, at: int, total: int) -> list[int]:
+    """From a meeting node to the end that this side began from: in memory where few nodes were visited, else by one lookup a
+    level, which reads that level's files alone."""
+    held = seen.read()
+    known = {r["id"]: r["parent"] for r in held.select("id", "parent").collect()} if total <= WALK else None
+    out, depth = [at], None
+    while True:
+        if known is not None:
+            parent = known[out[-1]]
+        else:
+            row = held.where((F.col("id") == out[-1]) if depth is None else (F.col("id") == out[-1]) & (F.col("depth") == depth)).first()
+            parent, depth = row["parent"], row["depth"] - 1
+        if parent is None:
+            return out
+        out.append(parent)
 
 
 def hits(docs: DataFrame, ids: list[int]) -> DataFrame:

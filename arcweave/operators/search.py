@@ -20,6 +20,8 @@ from arcweave.functions import text as X
 
 EXACT, STARTS, PHRASE, WEIGHT = 1000.0, 100.0, 10.0, 4.0
 SLOP = 2
+#: Terms that a filter names at most.
+FEW = 1000
 K1, B = 1.2, 0.75
 CONNECTORS = frozenset("a an and at for in of on or the to".split())
 HIT = ("id", "t", "x", "y", "r", "cl")
@@ -113,7 +115,12 @@ def matched_terms(vocabulary: DataFrame, token: str, last: bool) -> DataFrame:
 def word_scores(index: Index, token: str, last: bool) -> DataFrame:
     """(id, score) of the documents that match a word: BM25 for the word itself, 1 for a typo's reach, 1 for a prefix."""
     terms = matched_terms(index.vocabulary, token, last)
-    met = index.postings.join(terms, "term")
+    few = terms.limit(FEW + 1).collect()
+    postings = index.postings
+    if len(few) <= FEW:  # their filter skips the postings of all other words
+        postings = postings.where(F.col("term").isin([r["term"] for r in few])) if few else postings.where("false")
+        terms = terms.sparkSession.createDataFrame(few, terms.schema)
+    met = postings.join(terms, "term")
     lengths = index.docs.select("id", F.col("n_words").alias("length"))
     per = met.groupBy("id").agg(F.count_if("exact").alias("tf"), F.max(F.when(F.col("exact"), F.col("df"))).alias("df"), F.max(F.col("fuzzy").cast("int")).alias("fuzzy"), F.max(F.col("prefix").cast("int")).alias("prefix"))
     score = F.when(F.col("tf") > 0, _bm25(F.col("tf"), F.col("length"), index.words, F.col("df"), index.n)).otherwise(F.lit(0.0)) + F.col("fuzzy") + F.col("prefix")

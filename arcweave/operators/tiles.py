@@ -122,6 +122,23 @@ def encode_pages(records: DataFrame) -> DataFrame:
     return records.join(page_slots(records), "id").select(*RECORD, "tile_id").mapInPandas(run, "z int, x int, y int, tile_id bigint, data binary")
 
 
+def _line(e: dict) -> str:
+    """A record of a tile or a page as a line that other engines can write too; numbers with decimals are in hundredths."""
+    flat = lambda n: " ".join(str(round(v * 100)) if isinstance(v, float) else str(v) for v in n)
+    return "|".join([*(flat([e[k]]) for k in "id t x y r cl pr no ni".split()), *(",".join(flat(n) for n in e[k]) for k in ("ob", "ib", "out", "in"))])
+
+
+def decode(encoded: DataFrame) -> DataFrame:
+    """(z, x, y, tile_id, lines) of encoded tiles or pages: their records, one a line."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            held = [json.loads(gzip.decompress(d)) for d in f["data"]]
+            yield f[["z", "x", "y", "tile_id"]].assign(lines=["\n".join(_line(e) for e in (h if isinstance(h, list) else [h])) for h in held])
+
+    return encoded.select("z", "x", "y", "tile_id", "data").mapInPandas(run, "z int, x int, y int, tile_id bigint, lines string")
+
+
 def png(rgba: np.ndarray) -> bytes:
     """A lossless picture of straight-alpha bytes."""
     h, w, _ = rgba.shape
@@ -162,12 +179,44 @@ def draw(circles: pd.DataFrame, z: int, tx: int, ty: int, size: int = TILE_PX, s
     return out
 
 
-def raster_tiles(nodes: DataFrame, most: int, size: int = TILE_PX, samples: int = SAMPLES) -> DataFrame:
-    """(z, x, y, tile_id, data): a PNG of each tile that some node touches, coloured by cluster."""
-    held = touched(nodes.select("x", "y", "radius", *geometry.palette(F.col("partition"))), most)
+#: A tile is drawn in SPLIT x SPLIT blocks, a power of two.
+SPLIT = 8
 
-    def render(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        z, tx, ty = (int(k) for k in key)
-        return pd.DataFrame({"z": [z], "x": [tx], "y": [ty], "tile_id": [geometry.hilbert(z, tx, ty)], "data": [png(draw(f, z, tx, ty, size, samples))]})
 
-    return held.groupBy("z", "tx", "ty").applyInPandas(render, "z int, x int, y int, tile_id bigint, data binary")
+def _blocks(nodes: DataFrame, most: int, size: int, samples: int, split: int) -> DataFrame:
+    """nodes with (z, bx, by) of each block that they may colour, in the tiles that their bounding boxes touch. A block is a
+    tile some zooms deeper; half a sample's margin keeps the edges of circles the same as in a tile drawn whole."""
+    k = split.bit_length() - 1
+    at, z = zooms(nodes, most), F.col("z")
+
+    def span(v: str) -> Column:
+        low, high = (geometry.tile_of(F.col(v) + s * F.col("radius"), z) for s in (-1, 1))
+        pad = F.lit(float(WORLD / size / samples)) / F.pow(F.lit(2.0), z)
+        near, far = (geometry.tile_of(F.col(v) + s * (F.col("radius") + pad), z + k) for s in (-1, 1))
+        side = F.expr("1 << z")
+        first = F.greatest(near, F.greatest(low, F.lit(0)) * split)
+        last = F.least(far, (F.least(high, side - 1) + 1) * split - 1)
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    return at.withColumn("bx", span("x")).withColumn("by", span("y"))
+
+
+def raster_tiles(nodes: DataFrame, most: int, size: int = TILE_PX, samples: int = SAMPLES, split: int = SPLIT) -> DataFrame:
+    """(z, x, y, tile_id, data): a PNG of each tile that some node touches, coloured by cluster. Blocks of tiles are drawn by
+    themselves, so that no task draws all nodes of a low zoom, and then put together; every pixel is as if drawn whole."""
+    held = _blocks(nodes.select("x", "y", "radius", *geometry.palette(F.col("partition"))), most, size, samples, split)
+    part, k = size // split, split.bit_length() - 1
+
+    def render(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        z, bx, by = (int(v) for v in key)
+        return pd.DataFrame({"z": [z], "x": [bx // split], "y": [by // split], "bx": [bx % split], "by": [by % split], "pixels": [zlib.compress(draw(f, z + k, bx, by, part, samples).tobytes(), 1)]})
+
+    def join(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        z, x, y = (int(v) for v in key)
+        whole = np.zeros((size, size, 4), np.uint8)
+        for bx, by, p in zip(f["bx"], f["by"], f["pixels"]):
+            whole[by * part : (by + 1) * part, bx * part : (bx + 1) * part] = np.frombuffer(zlib.decompress(p), np.uint8).reshape(part, part, 4)
+        return pd.DataFrame({"z": [z], "x": [x], "y": [y], "tile_id": [geometry.hilbert(z, x, y)], "data": [png(whole)]})
+
+    drawn = held.groupBy("z", "bx", "by").applyInPandas(render, "z int, x int, y int, bx int, by int, pixels binary")
+    return drawn.groupBy("z", "x", "y").applyInPandas(join, "z int, x int, y int, tile_id bigint, data binary")

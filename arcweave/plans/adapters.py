@@ -58,7 +58,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DUMP, documents=table(spark, sf_dir, "documents"))
+    """In as many partitions as there are cores where the file has fewer, so that its few row groups aren't a few tasks."""
+    out, cores = spark.sql(DUMP, documents=table(spark, sf_dir, "documents")), spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if out.rdd.getNumPartitions() < cores else out
 
 
 def spatial(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave import storage
 from arcweave.functions import geometry
 from arcweave.functions import text as X
 from arcweave.operators import community, extract, graph, layout, overlap, records, search, tiles
@@ -56,14 +57,15 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return extract.classify(extract.parse_pages(extract.split_pages(A.dump(spark, d))))
 
 
-def _redirects(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d).where("is_redirect").select(F.col("title").alias("alias"), F.col("redirect_target").alias("target"))
+def _redirects(parsed: DataFrame) -> DataFrame:
+    return parsed.where("is_redirect").select(F.col("title").alias("alias"), F.col("redirect_target").alias("target"))
 
 
 def _wiki(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = _parsed(spark, d)
+    """Nodes and edges of the dump, which is parsed once."""
+    p = storage.materialize(_parsed(spark, d), "parsed")
     nodes = extract.build_nodes(p)
-    return nodes, extract.build_edges(extract.extract_links(p), nodes, extract.resolve_redirects(_redirects(spark, d)))
+    return nodes, extract.build_edges(extract.extract_links(p), nodes, extract.resolve_redirects(_redirects(p)))
 
 
 @query(_WIKI + "SELECT title, is_redirect, redirect_target FROM pages")
@@ -78,12 +80,12 @@ def extract_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_WIKI + "SELECT alias, target FROM red")
 def extract_redirects(spark: SparkSession, d: str) -> DataFrame:
-    return _redirects(spark, d)
+    return _redirects(_parsed(spark, d))
 
 
 @query(_WIKI + "SELECT alias, target FROM moved")
 def resolve_redirects(spark: SparkSession, d: str) -> DataFrame:
-    return extract.resolve_redirects(_redirects(spark, d))
+    return extract.resolve_redirects(_redirects(_parsed(spark, d)))
 
 
 @query(_WIKI + "SELECT id, title FROM nodes")
@@ -98,7 +100,8 @@ def build_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_WIKI + "SELECT alias, id FROM moved JOIN nodes ON target = title")
 def redirect_aliases(spark: SparkSession, d: str) -> DataFrame:
-    return extract.build_aliases(extract.resolve_redirects(_redirects(spark, d)), extract.build_nodes(_parsed(spark, d)))
+    p = storage.materialize(_parsed(spark, d), "parsed")
+    return extract.build_aliases(extract.resolve_redirects(_redirects(p)), extract.build_nodes(p))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1))::BIGINT AS links FROM pages")
@@ -169,9 +172,20 @@ def pagerank_k10(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(A.transitions(spark, d), 10, None).select("id", F.round("pagerank", 8).alias("pagerank"))
 
 
-@query()
+def _converged_sql(rounds: int) -> str:
+    """The first vector that moved by less than the tolerance, of as many as are ever needed."""
+    steps = [_WIKI, ", deg AS (SELECT src, count(*) AS n FROM edges GROUP BY src), ids AS MATERIALIZED (SELECT DISTINCT unnest([src, dst]) AS id FROM edges), flow AS MATERIALIZED (SELECT src, dst, n FROM edges JOIN deg USING (src)), size AS (SELECT count(*) AS n FROM ids), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / n AS rank FROM ids, size)"]
+    for k in range(1, rounds + 1):
+        steps.append(f""", r{k} AS MATERIALIZED (SELECT ids.id, 0.15::DOUBLE / size.n + 0.85::DOUBLE * loose / size.n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM ids CROSS JOIN size
+          CROSS JOIN (SELECT coalesce(sum(rank), 0) AS loose FROM r{k - 1} WHERE id NOT IN (SELECT src FROM deg)) l
+          LEFT JOIN (SELECT dst AS id, sum(rank / n) AS got FROM flow JOIN r{k - 1} ON r{k - 1}.id = src GROUP BY dst) g ON g.id = ids.id)""")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, id, a.rank, abs(a.rank - b.rank) AS moved FROM r{k} a JOIN r{k - 1} b USING (id)" for k in range(1, rounds + 1))
+    return "".join(steps) + f", every AS MATERIALIZED ({every}) SELECT id, round(rank, 9) AS pagerank FROM every WHERE k = (SELECT min(k) FROM (SELECT k FROM every GROUP BY k HAVING sum(moved) < 1e-6 OR k = {rounds}))"
+
+
+@query(_converged_sql(100))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(_wiki(spark, d)[1])
+    return graph.pagerank(_wiki(spark, d)[1]).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query(f"WITH p AS (SELECT DISTINCT src AS a, dst AS b FROM ({A.TRADE_SQL})), m AS (SELECT count(*)::DOUBLE AS m FROM p), e AS (SELECT unnest([a % 7, b % 7]) AS label FROM p), " + """
@@ -199,8 +213,8 @@ _ENDS = ((0, 77), (3, 140), (9, 9), (1, 10_000_000))
  SELECT s.source, s.target, coalesce(min(level) + 1, 0)::BIGINT AS length FROM (VALUES {", ".join(f"({a}::BIGINT, {b}::BIGINT)" for a, b in _ENDS)}) s(source, target)
  LEFT JOIN far ON far.source = s.source AND far.src = s.target GROUP BY s.source, s.target""")
 def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.storage.materialize(A.transitions(spark, d), "edges")
-    return spark.createDataFrame([(a, b, len(graph.shortest_path(edges, a, b))) for a, b in _ENDS], "source bigint, target bigint, length bigint")
+    near = graph.index(A.transitions(spark, d))
+    return spark.createDataFrame([(a, b, len(graph.shortest_path(near, a, b))) for a, b in _ENDS], "source bigint, target bigint, length bigint")
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
@@ -210,9 +224,44 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("t"), zero.alias("x"), zero.alias("y"), F.lit(1.0).alias("r"), F.col("c_nationkey").cast("bigint").alias("cl"))
 
 
-@query()
+_FAMILY = """SELECT r_regionkey::BIGINT AS id, r_name AS t, NULL::BIGINT AS up FROM region UNION ALL SELECT 100 + n_nationkey, n_name, n_regionkey FROM nation
+UNION ALL SELECT 1000 + c_custkey, c_name, 100 + c_nationkey FROM customer UNION ALL SELECT 100000000 + o_orderkey, 'Order ' || o_orderkey, 1000 + o_custkey FROM orders"""
+
+
+def _family(spark: SparkSession, d: str) -> DataFrame:
+    """(id, t, up): regions, their nations, these nations' customers, and their orders; a path in this tree is the only one."""
+    row = lambda table, at, key, name, up: A.table(spark, d, table).select((F.col(key).cast("bigint") + at).alias("id"), name.alias("t"), up.cast("bigint").alias("up"))
+    out = row("region", 0, "r_regionkey", F.col("r_name"), F.lit(None))
+    out = out.unionByName(row("nation", 100, "n_nationkey", F.col("n_name"), F.col("n_regionkey")))
+    out = out.unionByName(row("customer", 1000, "c_custkey", F.col("c_name"), F.col("c_nationkey") + 100))
+    return out.unionByName(row("orders", 100_000_000, "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), F.col("o_custkey") + 1000))
+
+
+def _ends_of(spark: SparkSession, d: str) -> tuple[tuple[DataFrame, DataFrame], DataFrame, int, int]:
+    """The tree's edges, its nodes' records, the last order and the region that it belongs to."""
+    held = storage.materialize(_family(spark, d), "family")
+    near = graph.index(held.where("up is not null").select(F.col("up").alias("src"), F.col("id").alias("dst")))
+    docs = held.select("id", "t", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("r"), F.lit(0).cast("bigint").alias("cl"))
+    low = top = held.agg(F.max("id")).first()[0]
+    while (up := held.where(F.col("id") == top).first()["up"]) is not None:
+        top = up
+    return near, docs, top, low
+
+
+@query(f"""WITH RECURSIVE family AS ({_FAMILY}), up AS (SELECT id, t, up, 0 AS k FROM family WHERE id = (SELECT max(id) FROM family)
+ UNION ALL SELECT f.id, f.t, f.up, k + 1 FROM up JOIN family f ON f.id = up.up), far AS (SELECT max(k) AS far FROM up)
+SELECT true AS found, (far + 1)::INTEGER AS length, far - k AS pos, id, t, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 1.0::DOUBLE AS r, 0::BIGINT AS cl FROM up, far""")
 def path_hits(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path(A.transitions(spark, d), _people(spark, d), 0, 7).select("found", "length", F.explode_outer("path").alias("hit")).select("found", "length", "hit.*")
+    """From a region down to the last order, with each node's record."""
+    near, docs, top, low = _ends_of(spark, d)
+    return graph.path(near, docs, top, low).select("found", "length", F.posexplode("path").alias("pos", "hit")).select("found", "length", "pos", "hit.*")
+
+
+@query("SELECT false AS found, 0 AS length, 0 AS hits")
+def path_none(spark: SparkSession, d: str) -> DataFrame:
+    """From an order back up, where there is no way."""
+    near, docs, top, low = _ends_of(spark, d)
+    return graph.path(near, docs, low, top).select("found", "length", F.size("path").alias("hits"))
 
 
 @query("""SELECT pos::INTEGER AS pos, a.id, coalesce(c_name, '') AS t, CASE WHEN c_name IS NULL THEN 0.0 ELSE 0.0 END::DOUBLE AS x, 0.0::DOUBLE AS y, CASE WHEN c_name IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS r, coalesce(c_nationkey, 0)::BIGINT AS cl
@@ -223,7 +272,7 @@ def lookup_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def leiden(spark: SparkSession, d: str) -> DataFrame:
-    return community.leiden(graph.undirected(_wiki(spark, d)[1]), passes=3, rounds=6)
+    return community.leiden(graph.undirected(_wiki(spark, d)[1]))
 
 
 @query()
@@ -345,9 +394,25 @@ def relax_one_step(spark: SparkSession, d: str) -> DataFrame:
     return overlap.relax_once(A.spatial(spark, d)).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query()
+def _relax_sql(steps: int) -> str:
+    out = [_S, ", a0 AS MATERIALIZED (SELECT id, x, y, radius FROM nodes)"]
+    for k in range(steps):
+        out.append(f""", p{k} AS (SELECT a.id AS i, b.id AS j, a.x - b.x AS dx, a.y - b.y AS dy, a.radius AS ri, b.radius AS rj, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM a{k} a JOIN a{k} b ON a.id < b.id),
+s{k} AS (SELECT i, j, 1.5 * (1.02 * (ri + rj) - d) * dx / d AS ux, 1.5 * (1.02 * (ri + rj) - d) * dy / d AS uy, ri, rj FROM p{k} WHERE 1.02 * (ri + rj) > d),
+m{k} AS (SELECT id, sum(mx) AS mx, sum(my) AS my FROM (SELECT i AS id, ux * rj / (ri + rj) AS mx, uy * rj / (ri + rj) AS my FROM s{k} UNION ALL SELECT j, -ux * ri / (ri + rj), -uy * ri / (ri + rj) FROM s{k}) GROUP BY id),
+a{k + 1} AS MATERIALIZED (SELECT a{k}.id, x + coalesce(mx, 0) AS x, y + coalesce(my, 0) AS y, radius FROM a{k} LEFT JOIN m{k} USING (id))""")
+    return "".join(out) + f" SELECT id, round(x, 4) AS x, round(y, 4) AS y FROM a{steps}"
+
+
+@query(_relax_sql(4))
+def relax_four_steps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.relax(A.spatial(spark, d), 4).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("SELECT 0::BIGINT AS overlaps, 0.0::DOUBLE AS deepest")
 def relaxed(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.rounded_check(overlap.relax(A.spatial(spark, d), 8))
+    """What is left of the overlaps, in single floats, after the whole relaxation: none."""
+    return overlap.rounded_check(overlap.relax(A.spatial(spark, d)))
 
 
 # ---- records
@@ -364,17 +429,17 @@ def neighbor_hist_in(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _top_sql(own: str, other: str) -> str:
-    return _S + f"SELECT id, nid, npr, place::INTEGER AS place FROM (SELECT {own} AS id, {other} AS nid, pagerank AS npr, row_number() OVER (PARTITION BY {own} ORDER BY pagerank DESC, {other}) AS place FROM edges JOIN nodes ON {other} = nodes.id) WHERE place <= 3"
+    return _S + f"SELECT id, nid, npr, place::INTEGER AS place FROM (SELECT {own} AS id, {other} AS nid, pagerank AS npr, row_number() OVER (PARTITION BY {own} ORDER BY pagerank DESC, {other}) AS place FROM edges JOIN nodes ON {other} = nodes.id) WHERE place <= 100"
 
 
 @query(_top_sql("src", "dst"))
 def top_neighbors_out(spark: SparkSession, d: str) -> DataFrame:
-    return records.top_neighbours(A.near(spark, d), A.spatial(spark, d), "out", 3)
+    return records.top_neighbours(A.near(spark, d), A.spatial(spark, d), "out")
 
 
 @query(_top_sql("dst", "src"))
 def top_neighbors_in(spark: SparkSession, d: str) -> DataFrame:
-    return records.top_neighbours(A.near(spark, d), A.spatial(spark, d), "in", 3)
+    return records.top_neighbours(A.near(spark, d), A.spatial(spark, d), "in")
 
 
 @query(_S + "SELECT id, row_number() OVER (ORDER BY pagerank DESC, id) AS pr FROM nodes")
@@ -391,19 +456,40 @@ def node_records(spark: SparkSession, d: str) -> DataFrame:
     return r.select(*"id t x y radius cl pr no ni".split(), F.coalesce(F.array_join(F.expr("transform(out, n -> cast(n.nid AS string))"), ","), F.lit("")).alias("out"))
 
 
-@query()
+_SIDE = """{0} AS (SELECT {own} AS id, count(*) AS n, string_agg({nid} nodes.x2 || ' ' || nodes.y2 || ' ' || nodes.r2 || ' ' || cl, ',' ORDER BY pagerank DESC, {other}) AS list FROM edges JOIN short nodes ON {other} = nodes.id GROUP BY 1),
+{0}h AS (SELECT id, string_agg(cl || ' ' || n, ',' ORDER BY n DESC, cl) AS hist FROM (SELECT {own} AS id, cl, count(*) AS n FROM edges JOIN short ON {other} = short.id GROUP BY ALL) GROUP BY id)"""
+
+
+def _entries_sql(nid: str) -> str:
+    """One line for each record, as it stands in tiles or pages. Numbers are in hundredths."""
+    number = lambda c: f"round(round_even({c}, 2) * 100)::BIGINT"
+    short = f", short AS (SELECT id, title, pagerank, \"partition\" AS cl, x, y, radius, {number('x')} AS x2, {number('y')} AS y2, {number('radius')} AS r2 FROM nodes)"
+    sides = ", ".join(_SIDE.format(name, own=own, other=other, nid=nid) for name, own, other in (("o", "src", "dst"), ("i", "dst", "src")))
+    return short + f""", {sides}, entry AS (SELECT short.id, x, y, radius, concat_ws('|', short.id, title, x2, y2, r2, cl, row_number() OVER (ORDER BY pagerank DESC, short.id), coalesce(o.n, 0), coalesce(i.n, 0), coalesce(oh.hist, ''), coalesce(ih.hist, ''), coalesce(o.list, ''), coalesce(i.list, '')) AS line
+FROM short LEFT JOIN o USING (id) LEFT JOIN i USING (id) LEFT JOIN oh USING (id) LEFT JOIN ih USING (id))"""
+
+
+@query(_S + _RZ + _entries_sql("") + """, top AS (SELECT least(greatest(1, ceil(log2(5 / min(radius) * 64))), any_value(max_zoom))::INTEGER AS top FROM nodes, rz),
+r AS (SELECT entry.id, line, round_even(x, 2) AS x, round_even(y, 2) AS y, round_even(radius, 2) AS radius FROM entry),
+seen AS (SELECT id, line, z::INTEGER AS z, floor((x + 32768) / (65536 / pow(2, z)))::INTEGER AS x, floor((y + 32768) / (65536 / pow(2, z)))::INTEGER AS y FROM r, range(20) t(z), top WHERE z <= top AND radius * 1024 * pow(2, z) / 65536 >= 5)
+SELECT z, x, y, string_agg(line, chr(10) ORDER BY id) AS lines FROM seen WHERE x >= 0 AND y >= 0 AND x < pow(2, z) AND y < pow(2, z) GROUP BY z, x, y""")
 def encoded_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.encode_tiles(records.records(A.spatial(spark, d), A.near(spark, d)), 3)
+    """Every tile of every zoom, encoded and read again."""
+    nodes = A.spatial(spark, d)
+    most = tiles.meta_zoom(nodes).first()["max_zoom"]
+    return tiles.decode(tiles.encode_tiles(records.records(nodes, A.near(spark, d)), most)).select("z", "x", "y", "lines")
 
 
-@query()
+@query(_S + _entries_sql("nodes.id || ' ' || nodes.title || ' ' ||") + ", n AS (SELECT greatest(1, ceil(log2(max(id) + 1) / 2))::INTEGER AS z FROM nodes) SELECT z, (((1::BIGINT << (2 * z)) - 1) // 3 + id)::BIGINT AS tile_id, line AS lines FROM entry, n")
 def encoded_pages(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.encode_pages(records.records(A.spatial(spark, d), A.near(spark, d)))
+    """Every page, encoded and read again."""
+    return tiles.decode(tiles.encode_pages(records.records(A.spatial(spark, d), A.near(spark, d)))).select("z", "tile_id", "lines")
 
 
 @query()
 def raster_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return tiles.raster_tiles(A.spatial(spark, d), 1, size=256)
+    nodes = A.spatial(spark, d)
+    return tiles.raster_tiles(nodes, tiles.raster_zoom(nodes).first()["max_zoom"])
 
 
 @query(_S + f"""SELECT "partition" AS id, count(*) AS count, arg_max(title, pagerank * 1e9 - id) AS name, {", ".join(f"any_value({c}) AS {c}" for c in "rgb")}
@@ -515,6 +601,42 @@ def search_scores(spark: SparkSession, d: str) -> DataFrame:
     return search.scores(search.build(A.titles(spark, d)), "Red widge").select("id", F.round("score", 4).alias("score"))
 
 
-@query()
+def _word_sql(token: str, last: bool, typos: int) -> str:
+    fuzzy = f"damerau_levenshtein(term, '{token}') <= {typos}" if typos else "false"
+    prefix = f"starts_with(term, '{token}')" if last else "false"
+    exact = "false" if last else f"term = '{token}'"
+    bm = _BM.format(df="greatest(coalesce(df, 1), 1)", tf="tf", len="len.words", mean="mean.words")
+    return f"""SELECT id, CASE WHEN tf > 0 THEN {bm} ELSE 0 END + fuzzy + prefix AS score FROM
+    (SELECT id, count(*) FILTER ({exact}) AS tf, max(({fuzzy})::INTEGER) AS fuzzy, max(({prefix})::INTEGER) AS prefix FROM post WHERE {exact} OR {fuzzy} OR {prefix} GROUP BY id) h
+    JOIN len USING (id) CROSS JOIN size CROSS JOIN mean CROSS JOIN (SELECT max(df) AS df FROM voc WHERE term = '{token}') v"""
+
+
+def _phrase_sql(tokens: list[str]) -> str:
+    joins = " ".join(f"JOIN post p{i} ON p{i}.id = p0.id AND p{i}.value_no = p0.value_no AND p{i}.term = '{t}'" for i, t in enumerate(tokens) if i)
+    spots = ", ".join(f"p{i}.pos - {i}" for i in range(len(tokens)))
+    bm = f"(SELECT sum(ln(1 + (n - df + 0.5) / (df + 0.5))) FROM voc, size WHERE term IN ({', '.join(repr(t) for t in tokens)})) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.words / mean.words))"
+    return f"""SELECT id, {bm} AS score FROM (SELECT p0.id, count(DISTINCT p0.value_no * 100000 + p0.pos) AS tf FROM post p0 {joins}
+    WHERE p0.term = '{tokens[0]}' AND greatest({spots}) - least({spots}) <= 2 GROUP BY p0.id) h JOIN len USING (id), mean"""
+
+
+def _query_sql(text: str, must: list[int], typos: list[int]) -> str:
+    tokens = text.split()
+    words = " UNION ALL ".join(f"SELECT id, score, {i} AS w FROM ({_word_sql(t, i == len(tokens) - 1, typos[i])})" for i, t in enumerate(tokens))
+    return f"""SELECT id, sum(score) AS score FROM ({words} UNION ALL SELECT id, score, -1 FROM ({_name_sql(text, 1000, 100)}) UNION ALL SELECT id, score, -1 FROM ({_phrase_sql(tokens)}))
+    GROUP BY id HAVING count(DISTINCT w) FILTER (w IN ({', '.join(map(str, must))})) = {len(must)}"""
+
+
+@query(_RAW + f", s AS ({_phrase_sql(['blue', 'bolt'])}) SELECT id, round(score, 6) AS score FROM s")
+def search_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return search.phrase_scores(search.build(A.titles(spark, d)), ["blue", "bolt"]).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_RAW + _tweaked(_query_sql("the blue bolt", [1, 2], [0, 1, 1])))
+def search_connector(spark: SparkSession, d: str) -> DataFrame:
+    return search.scores(search.build(A.titles(spark, d)), "The blue bolt").select("id", F.round("score", 4).alias("score"))
+
+
+@query(_RAW + f", i AS (SELECT * FROM ({_I})), s AS ({_query_sql('to the thnd', [2], [0, 0, 1])}), best AS (SELECT id, score * (1 + 4 * i.imp) AS score FROM s JOIN i USING (id) ORDER BY 2 DESC, 1 LIMIT 10) SELECT docs.id, t, x, y, r, cl, round(score, 4) AS score FROM best JOIN docs USING (id)")
 def search_topn(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(search.build(A.titles(spark, d)), "the blue bolt", 10)
+    hits = search.search(search.build(A.titles(spark, d)), "to the thnd", 10)
+    return hits.withColumn("score", F.round("score", 4))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave import storage
+
 
 def parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -23,6 +25,7 @@ def meta_json(totals: DataFrame, clusters: DataFrame, path: str) -> dict:
     t = totals.first()
     rows = clusters.orderBy(F.col("count").desc(), "id").toLocalIterator()
     out = {"total_pages": t["total_pages"], "total_links": t["total_links"], "clusters": [{"id": r["id"], "color": [r["r"], r["g"], r["b"]], "count": r["count"], "name": r["name"]} for r in rows]}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f, indent=2, ensure_ascii=False)
+    system, name = storage.filesystem(path)
+    with system.open_output_stream(name) as f:
+        f.write(json.dumps(out, indent=2, ensure_ascii=False).encode())
     return out

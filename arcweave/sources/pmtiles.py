@@ -1,12 +1,12 @@
 """Tile archives by the public PMTiles specification, version 3: a header of 127 bytes, a root directory of at most 16 KB
-with it, JSON metadata, leaf directories, then the tiles in order of their ids."""
+with it, JSON metadata, leaf directories, then the tiles in order of their ids. Archives are named by a path or a URI that
+all machines reach; they are read by ranges."""
 
 from __future__ import annotations
 
 import gzip
 import hashlib
 import json
-import os
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from arcweave import storage
 from arcweave.functions import geometry
 
 HEADER = struct.Struct("<7sB QQQQQQQQ QQQ BBBBBB iiii B ii")
@@ -116,16 +117,16 @@ def _directories(entries: list[Entry]) -> tuple[bytes, bytes]:
     """(root, leaves): one level of leaves if the entries don't fit the root, larger ones until it fits."""
     root = pack_directory(entries)
     size = 4096
-    leaves = b""
+    leaves: list[bytes] = []
     while len(root) > ROOT_BYTES:
-        leaves, heads = b"", []
+        leaves, heads, at = [], [], 0
         for i in range(0, len(entries), size):
-            leaf = pack_directory(entries[i : i + size])
-            heads.append(Entry(entries[i].tile, len(leaves), len(leaf), 0))
-            leaves += leaf
+            leaves.append(pack_directory(entries[i : i + size]))
+            heads.append(Entry(entries[i].tile, at, len(leaves[-1]), 0))
+            at += len(leaves[-1])
         root = pack_directory(heads)
         size *= 2
-    return root, leaves
+    return root, b"".join(leaves)
 
 
 def write(tiles: DataFrame, path: str, kind: int = UNKNOWN, compression: int = NONE, max_zoom: int | None = None, metadata: dict | None = None) -> Head:
@@ -136,9 +137,10 @@ def write(tiles: DataFrame, path: str, kind: int = UNKNOWN, compression: int = N
     entries: list[Entry] = []
     seen: dict[bytes, tuple[int, int]] = {}
     addressed = at = 0
-    body = f"{path}.tiles"
+    system, name = storage.filesystem(path)
+    body = f"{name}.tiles"
     try:
-        with open(body, "wb") as f:
+        with system.open_output_stream(body) as f:
             for row in tiles.select("tile_id", "data").repartitionByRange("tile_id").sortWithinPartitions("tile_id").toLocalIterator(prefetchPartitions=True):
                 data = bytes(row["data"])
                 addressed += 1
@@ -158,21 +160,20 @@ def write(tiles: DataFrame, path: str, kind: int = UNKNOWN, compression: int = N
         leaf_at = meta_at + len(meta)
         data_at = leaf_at + len(leaves)
         head = Head(b"PMTiles", 3, HEADER.size, len(root), meta_at, len(meta), leaf_at, len(leaves), data_at, at, addressed, len(entries), len(seen), 1, GZIP, compression, kind, 0, max_zoom, -1_800_000_000, -850_000_000, 1_800_000_000, 850_000_000, 0, 0, 0)
-        with open(path, "wb") as f:
+        with system.open_output_stream(name) as f:
             for part in (HEADER.pack(*head), root, meta, leaves):
                 f.write(part)
-            with open(body, "rb") as g:
+            with system.open_input_stream(body) as g:
                 while block := g.read(1 << 20):
                     f.write(block)
         return head
     finally:
-        if os.path.exists(body):
-            os.remove(body)
+        if system.get_file_info(body).is_file:
+            system.delete_file(body)
 
 
 def read_header(path: str) -> Head:
-    with open(path, "rb") as f:
-        raw = f.read(HEADER.size)
+    raw = _range(path, 0, HEADER.size)
     if len(raw) < HEADER.size or raw[:7] != b"PMTiles":
         raise ValueError("not a tile archive")
     head = Head(*HEADER.unpack(raw))
@@ -182,13 +183,27 @@ def read_header(path: str) -> Head:
 
 
 def _range(path: str, at: int, size: int) -> bytes:
-    with open(path, "rb") as f:
-        f.seek(at)
-        return f.read(size)
+    system, name = storage.filesystem(path)
+    with system.open_input_file(name) as f:
+        return f.read_at(min(size, max(0, f.size() - at)), at)
 
 
-def lookup(path: str, z: int, x: int, y: int) -> bytes | None:
-    """One tile by its place, through the directories alone; None where there is none."""
+class Changed(Exception):
+    """The archive isn't the one that a reader has begun to read."""
+
+
+def version(path: str) -> str:
+    """What tells one state of an archive from another: its size and time of change."""
+    system, name = storage.filesystem(path)
+    info = system.get_file_info(name)
+    return f"{info.size}-{info.mtime_ns}"
+
+
+def lookup(path: str, z: int, x: int, y: int, expect: str | None = None) -> bytes | None:
+    """One tile by its place, through the directories alone; None where there is none. With `expect`, a version(), an archive
+    that was replaced since then is an error, so that no directory of one is used with the tiles of another."""
+    if expect is not None and version(path) != expect:
+        raise Changed(path)
     head, tile = read_header(path), geometry.hilbert(z, x, y)
     at, size = head.root_at, head.root_size
     for _ in range(4):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import posixpath
 import tempfile
 import uuid
 
@@ -11,6 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+def filesystem(path: str):
+    """(file system, path in it) of a path or a URI, for single files that any machine must reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{os.path.abspath(path)}")
+
+
+def write_whole(system, path: str, data: bytes, attempt: int) -> None:
+    """A file that is there as a whole or not at all, also where a task is tried again or twice at once."""
+    trial = posixpath.join(posixpath.dirname(path), f".{posixpath.basename(path)}.{attempt}")
+    with system.open_output_stream(trial) as out:
+        out.write(data)
+    system.move(trial, path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary one; a cluster
     must name it, because a folder of one machine is lost with that machine."""
@@ -43,11 +60,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
     if path := getattr(df, "_arcweave_path", None):
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
         df._arcweave_path = None
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+class Growing:
+    """A table in the shared folder to which rows are appended; each append is one job, and read() sees all so far."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self.spark, self.schema, self.path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
+        df.coalesce(1).write.parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def release(self) -> None:
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of new_path()."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -57,6 +92,6 @@ def _clean() -> None:
         if spark.sparkContext._jsc is None:
             continue
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception as e:  # the JVM may have gone first
             print(f"left behind {path}: {type(e).__name__}")

@@ -6,12 +6,15 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from arcweave import schemas, stages
 from arcweave.functions import geometry
-from arcweave.operators import tiles
+from arcweave.operators import records, tiles
+from arcweave.plans import adapters
 from arcweave.sinks import files
 from arcweave.sources import csr, dump, pmtiles
+from tests.conftest import SMALL
 
 
 def curve(z, x, y):
@@ -104,21 +107,45 @@ def test_pictures():
 
 
 def test_encoded_records(spark):
-    from arcweave.plans import queries
-    from tests.conftest import SMALL
-
+    nodes = adapters.spatial(spark, SMALL)
+    recs = records.records(nodes, adapters.near(spark, SMALL))
     per = {}
-    for r in queries.encoded_tiles(spark, SMALL).collect():
+    for r in tiles.encode_tiles(recs, 3).collect():
         got = json.loads(gzip.decompress(r.data))
         assert r.tile_id == geometry.hilbert(r.z, r.x, r.y) and list(got[0]) == "id t x y r cl pr no ni ob ib out in".split()
         per.setdefault(r.z, []).extend(e["id"] for e in got)
         assert all(len(n) == 4 for e in got for n in e["out"])
     assert all(len(v) == len(set(v)) for v in per.values()) and len(per) == 4
-    pages = [(r.tile_id, json.loads(gzip.decompress(r.data))) for r in queries.encoded_pages(spark, SMALL).collect()]
+    pages = [(r.tile_id, json.loads(gzip.decompress(r.data))) for r in tiles.encode_pages(recs).collect()]
     low = min(t for t, _ in pages)
     assert all(t - low == p["id"] for t, p in pages) and all(len(n) == 6 for _, p in pages for n in p["out"])
 
 
+def test_blocks_make_the_tile_drawn_whole(spark):
+    nodes = adapters.spatial(spark, SMALL)
+    flat = nodes.select("x", "y", "radius", *geometry.palette(F.col("partition")))
+    got = {(r.z, r.x, r.y): bytes(r.data) for r in tiles.raster_tiles(nodes, 1, size=128, split=4).collect()}
+    want = {}
+    for key, f in tiles.touched(flat, 1).toPandas().groupby(["z", "tx", "ty"]):
+        want[tuple(map(int, key))] = tiles.png(tiles.draw(f, *map(int, key), 128))
+    assert got == want and len(got) == 5
+
+
+def test_files_by_uri(spark, tmp_path):
+    edges = spark.createDataFrame([(i, (7 * i + 1) % 5000) for i in range(5000)], schemas.EDGES)
+    uri = (tmp_path / "g.csr").as_uri()
+    assert csr.write(edges, uri, 6000) == (6000, 5000)
+    assert sorted(map(tuple, csr.read(spark, uri).collect())) == sorted(map(tuple, edges.collect()))
+    tile = spark.createDataFrame([(0, 0, 0, 0, b"one")], schemas.TILE)
+    at = (tmp_path / "t.pmtiles").as_uri()
+    pmtiles.write(tile, at, pmtiles.PNG)
+    seen = pmtiles.version(at)
+    assert pmtiles.lookup(at, 0, 0, 0, seen) == b"one" and not list(tmp_path.glob("*.tiles"))
+    pmtiles.write(spark.createDataFrame([(0, 0, 0, 0, b"another")], schemas.TILE), at, pmtiles.PNG)
+    with pytest.raises(pmtiles.Changed):
+        pmtiles.lookup(at, 0, 0, 0, seen)
+
+
 @pytest.mark.parametrize(("url", "want"), [("/nodes/3/1/2.png", {"name": "nodes", "z": 3, "x": 1, "y": 2, "ext": "png"}), ("/nodes.json", {"name": "nodes"}), ("/nodes/3/1.png", None), ("/", None)])
 def test_urls(url, want):
     assert stages.parse_url(url) == want
@@ -127,8 +154,6 @@ def test_urls(url, want):
 def test_no_palette_differs_from_the_standard_library(spark):
     import colorsys
 
-    from pyspark.sql import functions as F
-
     got = spark.range(500).select("id", *geometry.palette(F.col("id"))).collect()
     for r in got:
         assert (r.r, r.g, r.b) == tuple(int(c * 255) for c in colorsys.hsv_to_rgb(r.id * 0.618033988749895 % 1.0, 0.9, 1.0))

@@ -1,5 +1,9 @@
+from pathlib import Path
+
+import numpy as np
 import pytest
 
+from arcweave import storage
 from arcweave.operators import community, extract, graph, layout, overlap, records
 from arcweave.operators.layout import Pass
 
@@ -16,6 +20,34 @@ def test_shortest_path(six, source, target, want):
     assert graph.shortest_path(six, source, target) == want
 
 
+def test_long_path_releases_its_tables(spark):
+    import time
+
+    held = len([p for p in Path(storage.shared_dir(spark).removeprefix("file:")).iterdir()])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(i, 1000 + i) for i in range(60)], EDGES)
+    began = time.monotonic()
+    assert graph.shortest_path(edges, 0, 60) == list(range(61))
+    assert time.monotonic() - began < 60
+    assert len([p for p in Path(storage.shared_dir(spark).removeprefix("file:")).iterdir()]) == held
+    assert graph.levels(edges, 40).agg({"level": "max"}).first()[0] == 20
+
+
+@pytest.mark.parametrize(("few", "walk"), [(0, 0), (2, 0), (500, 100_000)])
+def test_paths_are_the_same_by_joins_and_by_filters(spark, monkeypatch, few, walk):
+    """Against a breadth-first search in memory, on a graph with wide levels."""
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "WALK", walk)
+    rng = np.random.default_rng(2)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 120, (260, 2)) if a != b})
+    near = graph.index(spark.createDataFrame(pairs, EDGES))
+    for source, target in ((0, 77), (5, 100), (33, 2)):
+        far, front = {source: 0}, [source]
+        while front:
+            front = [b for a in front for x, b in pairs if x == a and b not in far and not far.update({b: far[a] + 1})]
+        got = graph.shortest_path(near, source, target)
+        assert len(got) == (far[target] + 1 if target in far else 0) and all(p in set(pairs) for p in zip(got, got[1:]))
+
+
 def test_path_has_stubs_and_counts_nodes(spark, six):
     docs = spark.createDataFrame([(0, "zero", 1.0, 2.0, 3.0, 4)], "id bigint, t string, x double, y double, r double, cl bigint")
     row = graph.path(six, docs, 0, 3).first()
