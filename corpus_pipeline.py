@@ -1,7 +1,15 @@
 """From raw documents to token ids: toxic documents go, one of each group of near-duplicates stays, secrets are blanked,
 sources are sampled to their weights, and the rest is encoded. Each stage is written and read again before the next.
 
-The stages keep the columns of documents, but the last, which gives what encode_documents gives.
+The stages keep the columns of documents, but the last, which gives what encode_documents gives. A stage's table is
+deleted when the next one's is written.
+
+Defined results. A null text passes every stage (it has no toxic feature, no copy, no secret and no tokens) and ends with
+null ids; an empty one ends with none, and identical empty ones are copies. A null doc_id takes no part in the search for
+copies, so it stays there; all such rows have one key in the mixing. Repeated rows stay or go together until one source's
+budget decides, by their key. Very long texts are whole in every stage. Ties: a group keeps its smallest doc_id. A stage
+passes extra columns on, whatever their names, except the last, which has its own. Empty tables give empty results, as does
+a table of labels without a toxic one leave all documents.
 """
 
 from __future__ import annotations
@@ -48,5 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; each stage's result is a Parquet table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = util.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = util.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        util.release(docs)
+        docs = made
     return docs
