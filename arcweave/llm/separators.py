@@ -57,7 +57,7 @@ def pack(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, separa
         schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("doc_id", pa.int64())])
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}.tok"
-        system, root = util.open_folder(folder)
+        system, root = util.filesystem(folder)
         system.create_dir(root, recursive=True)
         trial = posixpath.join(root, f".{name}.{task.taskAttemptId()}")
         enc, kind, at = encoding(vocabulary), np.dtype(f"<u{width}"), 0
@@ -81,7 +81,7 @@ def separators(tokens: np.ndarray, separator: int) -> np.ndarray:
 
 def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """(file, position, start_token, n_tokens, terminated) of every document in the folder's token files."""
-    system, root = util.open_folder(folder)
+    system, root = util.filesystem(folder)
     from pyarrow import fs
 
     listed = [f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.is_file and not f.base_name.startswith((".", "_"))]
@@ -94,7 +94,7 @@ def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("tokens", pa.int64()), ("ends", pa.list_(pa.int64()))])
-        system, root = util.open_folder(folder)
+        system, root = util.filesystem(folder)
         for batch in batches:
             for file, tokens, k in zip(*(c.to_pylist() for c in batch.columns)):
                 with system.open_input_file(posixpath.join(root, file)) as f:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,22 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.storage import materialize, new_path, release, shared_dir  # noqa: F401
-
-
-def open_folder(path: str):
-    """(file system, path in it) of a folder named by a path or a URI."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{os.path.abspath(path)}")
-
-
-def write_whole(system, path: str, data: bytes, attempt: int) -> None:
-    """A file that is there as a whole or not at all, also where a task is tried again or twice at once."""
-    trial = posixpath.join(posixpath.dirname(path), f".{posixpath.basename(path)}.{attempt}")
-    with system.open_output_stream(trial) as out:
-        out.write(data)
-    system.move(trial, path)
+from arcweave.storage import filesystem, materialize, new_path, release, shared_dir, write_whole  # noqa: F401
 
 
 def _free(rows: DataFrame, name: str) -> str:
@@ -54,7 +38,7 @@ def _marks(rows: DataFrame, ids: DataFrame, key: str) -> str | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        system, root = open_folder(folder)
+        system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -74,7 +58,7 @@ def _chosen(rows: DataFrame, folder: str, marked: bool) -> DataFrame:
     file, row = _free(rows, "__file"), _free(rows, "__row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = open_folder(folder)
+        system, root = filesystem(folder)
 
         @lru_cache(2)
         def bits(name: str) -> np.ndarray:
