@@ -8,7 +8,7 @@ budget ends is divided by the next 12 bits; only inside the bucket that then rem
 The largest budget is the most that the weights allow without repeating a source. Without given weights a source weighs
 as its tokens to the power ALPHA, which lowers large sources. A token is a run of characters other than white space.
 
-Defined results. A null text has 0 tokens; a null doc_id the key of the empty text; documents with equal keys (a repeated
+Defined results. A null text has 0 tokens; a very long one is counted whole, in one task; a null doc_id the key of the empty text; documents with equal keys (a repeated
 doc_id) are taken or left together; documents without a source are one source, which null names. A source whose tokens
 are 0 needs no budget and is taken whole. Sources missing from given weights weigh 0. Other columns are not read by mix()
 and pass through sample(), whatever their names. An empty table gives an empty result.

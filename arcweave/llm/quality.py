@@ -1,15 +1,15 @@
 """A ledger of quality rules.
 
-Every rule is evaluated once for each document: the ledger keeps the counts that it measures and one bit for each rule
-that fails. A policy is a version and the mask of the rules that it applies; deciding, comparing policies and ablating
-rules are then bitwise operations on the ledger and read no text again. All measurements are whole numbers and all rules
+Every rule is evaluated once for each document: the ledger, which store() writes, keeps the counts that it measures and one
+bit for each rule that fails. A policy is a version and the mask of the rules that it applies; deciding, comparing policies
+and ablating rules are then bitwise operations on the stored ledger and read no text again. All measurements are whole numbers and all rules
 compare products of them, so results don't depend on rounding.
 
 Words are runs of characters other than white space (U+0009 to U+000D and U+0020); lines are cut at U+000A and those
 without a word don't count.
 
 Defined results. A null text counts as empty; an empty one has 0 for every measurement, fails the rule `empty` and no
-other but `few_words`. A null doc_id is carried along; repeated rows repeat. Other columns are not read, so their names
+other but `few_words`. A very long text is measured whole, in one task. Rules have no order, so there are no ties. A null doc_id is carried along; repeated rows repeat. Other columns are not read, so their names
 can't clash. An empty table gives an empty ledger and an empty ablation.
 """
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.llm import util
+
 STOP = "the and of to in is it that with for on as are der die und das von mit ist zu ein den de la que el en los del las por para le les et des un une dans est pour sur".split()
 SYMBOLS = r"[#$%&*|<>~^{}\x5c]"
 SPACE = r"[\x09-\x0D ]"
@@ -96,10 +98,18 @@ def passes(version: int = CURRENT, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
 
 
-def decide(documents: DataFrame) -> DataFrame:
-    """The ledger with keep (of the current policy) and passes (the versions that the document passes)."""
+def store(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """The ledger of documents, written once (to the shared folder if no path is given) and read back."""
+    if path is None:
+        return util.materialize(ledger(documents), "ledger")
+    ledger(documents).write.mode("overwrite").parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def decide(entries: DataFrame) -> DataFrame:
+    """A ledger's entries with keep (of the current policy) and passes (the versions that the document passes)."""
     versions = F.array_compact(F.array(*[F.when(passes(v), F.lit(v)) for v in sorted(POLICIES)]))
-    return ledger(documents).select("doc_id", passes().alias("keep"), F.array_join(versions.cast("array<string>"), ",").alias("passes"), "failed", *MEASURES)
+    return entries.select("doc_id", passes().alias("keep"), F.array_join(versions.cast("array<string>"), ",").alias("passes"), "failed", *MEASURES)
 
 
 def ablate(entries: DataFrame) -> DataFrame:

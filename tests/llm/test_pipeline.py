@@ -1,13 +1,12 @@
 """run() against stages that are written plainly, one document at a time."""
 
-import pyarrow as pa
 import pytest
 import sentencepiece
 
 import corpus_pipeline
 from arcweave.llm import piece, toxicity
 from tests.conftest import SMALL
-from tests.llm import test_bagminhash, test_mixing, test_secrets
+from tests.llm import test_bagminhash, test_mixing, test_secrets, test_toxicity
 from tests.llm.test_rp_forest import groups
 
 
@@ -15,7 +14,7 @@ def test_run_is_brute_force(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
     rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
-    rows = [r for r in rows if toxicity.logits(model, pa.array([r[2]]))[0] <= model.threshold]
+    rows = [r for r in rows if test_toxicity.brute(model, r[2]) <= model.threshold]
     first = groups(test_bagminhash.brute([(d, t) for d, _, t in rows]))
     rows = [r for r in rows if first.get(r[0], r[0]) == r[0]]
     blank = []
@@ -33,7 +32,7 @@ def test_run_is_brute_force(spark):
 def test_stages_keep_the_columns(spark, odd):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "secret_scans", "source_mixing", "sentencepiece"]
     plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for docs in (plain, plain.limit(0)):
+    for docs in (odd, plain, odd.limit(0)):  # extra columns with clashing names pass
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, SMALL).columns == docs.columns
             docs = stage(spark, docs, SMALL)
@@ -49,14 +48,15 @@ def test_registered():
     assert set(queries.ORACLE_SQL) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_source_mixing", "quality_ablation"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_source_mixing", "op7_embedding_near_dedup", "quality_ablation", "near_duplicate_groups", "planted_embedding_groups"])
 def test_sql_agrees(spark, name):
     import duckdb
 
     from arcweave.llm import queries
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SMALL).toPandas(), con.execute(queries.ORACLE_SQL[name]).fetchdf()
     cols = sorted(got.columns)
     order = lambda df: sorted(map(tuple, df[cols].astype(str).values.tolist()))

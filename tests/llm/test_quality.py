@@ -29,11 +29,11 @@ def test_ledger_is_brute_force(spark, odd):
 
 
 def test_odd_rows_and_clashing_names(odd, none):
-    got = quality.decide(odd)
+    got = quality.decide(quality.store(odd))
     assert got.columns == ["doc_id", "keep", "passes", "failed", *quality.MEASURES] and got.count() == odd.count()
     empty = got.where("doc_id = 3").first()
     assert empty["failed"] == quality.mask("empty", "few_words") and not empty["keep"]
-    assert quality.decide(none).count() == 0 and quality.ablate(quality.ledger(none)).count() == 0
+    assert quality.decide(quality.ledger(none)).count() == 0 and quality.ablate(quality.ledger(none)).count() == 0
 
 
 def test_policies_and_ablation(spark):
@@ -44,3 +44,10 @@ def test_policies_and_ablation(spark):
         only = [w for f, w in failed if f & m == bit]
         assert (r.documents, r.failing, r.only) == (len(failed), sum(f & bit > 0 for f, _ in failed), len(only))
         assert r.kept_without == sum(f & m & ~bit == 0 for f, _ in failed) and r.words_regained == sum(only)
+
+
+def test_a_stored_ledger_serves_every_policy(spark, tmp_path):
+    """Policies and ablations read the stored bits, no text."""
+    entries = quality.store(spark.read.parquet(f"{SMALL}/documents.parquet"), str(tmp_path / "ledger"))
+    assert "text" not in entries._jdf.queryExecution().toString() and str(tmp_path) in entries.inputFiles()[0]
+    assert quality.decide(entries).count() == entries.count() and quality.ablate(entries).count() == sum(bin(m).count("1") for m in quality.POLICIES.values())
