@@ -34,7 +34,7 @@ _PLANTED = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNIO
  SELECT vec_id + 1000000000, list_transform(embedding::DOUBLE[], lambda v, i: v * (1 + 0.3 * ((i - 1 + vec_id) % 3 - 1))) FROM embeddings)"""
 
 #: Groups as the transitive closure of all pairs; {{pairs}} is a table pairs(a, b), a < b.
-_GROUPS = """, both AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS other FROM both UNION SELECT reach.id, both.b FROM reach JOIN both ON both.a = reach.other)"""
+_GROUPS = """, link AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT a AS id, a AS other FROM link UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.other)"""
 _PAIRS = """unit AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: (x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::FLOAT) AS u FROM v WHERE len(e) > 0),
 pairs AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, list_inner_product(x.u, y.u) AS s FROM unit x JOIN unit y ON x.vec_id < y.vec_id WHERE list_inner_product(x.u, y.u) >= 0.9)"""
 
@@ -61,7 +61,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.decide_sql(),
     "op2_source_mixing": mixing.SQL.format(documents="documents"),
     "quality_ablation": quality.ablate_sql(),
-    "op7_embedding_near_dedup": f"WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), {_PAIRS}{_GROUPS} SELECT id AS vec_id, min(other) AS group_id, (SELECT round(max(s), 6) FROM pairs WHERE a = id OR b = id) AS similarity FROM reach GROUP BY id",
+    "op7_embedding_near_dedup": f"WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), {_PAIRS}{_GROUPS} SELECT id AS vec_id, min(other) AS group_id, (SELECT round(max(s)::DOUBLE, 6) FROM pairs WHERE a = id OR b = id) AS similarity FROM reach GROUP BY id",
     "planted_embedding_groups": f"WITH RECURSIVE {_PLANTED}, {_PAIRS}{_GROUPS} SELECT id AS vec_id, min(other) AS group_id FROM reach GROUP BY id",
     "near_duplicate_groups": f"""WITH RECURSIVE w AS (SELECT doc_id, text, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, text, CASE WHEN len(w) = 1 THEN [w[1], w[1]] ELSE w END AS w FROM w),
 gram AS (SELECT doc_id, unnest(list_zip(w[1:len(w) - 1], w[2:])) AS g FROM p WHERE len(w) > 1), bag AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM gram GROUP BY ALL), size AS (SELECT doc_id, sum(n) AS n FROM bag GROUP BY doc_id),
