@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from arcweave import storage
 
+#: Modularity that four rounds of moves must gain.
+GAIN = 1e-4
+
 
 def modularity(pairs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row (modularity): the share of edges inside communities less what random edges with the same degrees give."""
@@ -20,23 +23,39 @@ def modularity(pairs: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return per.agg(F.sum(F.coalesce("inside", F.lit(0)) / F.col("m") - resolution * F.pow(F.col("ends") / (2 * F.col("m")), F.lit(2))).alias("modularity"))
 
 
-def _local_moves(flows: DataFrame, nodes: DataFrame, two_m: float, resolution: float, rounds: int) -> DataFrame:
+def _quality(flows: DataFrame, nodes: DataFrame, two_m: float, resolution: float) -> float:
+    """Modularity of nodes(id, k, label), but for what loops give to all alike."""
+    lab = lambda v, c: nodes.select(F.col("id").alias(v), F.col("label").alias(c))
+    inside = flows.join(lab("src", "la"), "src").join(lab("dst", "lb"), "dst").where("la = lb").agg(F.sum("w")).first()[0] or 0.0
+    spread = nodes.groupBy("label").agg(F.sum("k").alias("tot")).agg(F.sum(F.pow(F.col("tot") / two_m, F.lit(2)))).first()[0] or 0.0
+    return inside / two_m - resolution * spread
+
+
+def _local_moves(flows: DataFrame, nodes: DataFrame, two_m: float, resolution: float) -> DataFrame:
     """nodes(id, k, label, part) after rounds in which a node moves where modularity gains most, within its part. In a round
-    only nodes of one hash parity move, else neighbours would swap for ever; ties go to the smallest label."""
-    for turn in range(rounds):
+    only nodes of one hash parity move, else neighbours would swap for ever; ties go to the smallest label. It ends when no
+    node has moved in a round of either parity, or when four rounds have brought modularity less than GAIN."""
+    turn, best, idle = 0, None, 0
+    while idle < 2:
+        if turn % 4 == 0:
+            now = _quality(flows, nodes, two_m, resolution)
+            if best is not None and now < best + GAIN:
+                break
+            best = now
         total = nodes.groupBy("label").agg(F.sum("k").alias("tot"))
         near = flows.join(nodes.select(F.col("id").alias("dst"), F.col("label").alias("to"), F.col("part").alias("part2")), "dst").join(nodes.select(F.col("id").alias("src"), "k", "label", "part"), "src").where("part = part2")
         links = near.groupBy("src", "k", "label", "to").agg(F.sum("w").alias("w"))
         own = links.where("label = to").select("src", F.col("w").alias("w0"))
         gain = (F.col("w") - F.coalesce("w0", F.lit(0.0))) - F.lit(resolution) * F.col("k") * (F.col("tot") - (F.col("tot0") - F.col("k"))) / F.lit(two_m)
         tried = links.where("label <> to").join(own, "src", "left").join(total.withColumnsRenamed({"label": "to"}), "to").join(total.select("label", F.col("tot").alias("tot0")), "label")
-        best = tried.select("src", "to", gain.alias("gain")).where((F.col("gain") > 1e-9) & (F.pmod(F.xxhash64("src", F.lit(turn // 2)), F.lit(2)) == turn % 2))
-        best = best.groupBy("src").agg(F.max(F.struct("gain", (-F.col("to")).alias("to"))).alias("m")).select(F.col("src").alias("id"), (-F.col("m.to")).alias("to"))
-        new = storage.materialize(nodes.join(best, "id", "left").select("id", "k", F.coalesce("to", "label").alias("label"), "part", F.col("to").isNotNull().alias("moved")), "moves")
+        target = tried.select("src", "to", gain.alias("gain")).where((F.col("gain") > 1e-9) & (F.pmod(F.xxhash64("src", F.lit(turn // 2)), F.lit(2)) == turn % 2))
+        target = target.groupBy("src").agg(F.max(F.struct("gain", (-F.col("to")).alias("to"))).alias("m")).select(F.col("src").alias("id"), (-F.col("m.to")).alias("to"))
+        new = storage.materialize(nodes.join(target, "id", "left").select("id", "k", F.coalesce("to", "label").alias("label"), "part", F.col("to").isNotNull().alias("moved")), "moves")
         moved = new.where("moved").count()
-        nodes = new.drop("moved")
-        if not moved and turn % 2:
-            break
+        if turn:
+            storage.release(held)
+        nodes, held = new.drop("moved"), new
+        idle, turn = 0 if moved else idle + 1, turn + 1
     return nodes
 
 
@@ -58,7 +77,7 @@ def connected_parts(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             return part.select("id", F.col("root").alias("label"))
 
 
-def leiden(pairs: DataFrame, resolution: float = 1.0, passes: int = 10, rounds: int = 20) -> DataFrame:
+def leiden(pairs: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, label): communities by local moves, refinement and aggregation until nothing moves. Refinement here splits each
     community into connected parts, so that none falls apart; parts become the next pass's nodes and start from the
     community that they are in. Labels are the smallest id; two runs give the same."""
@@ -68,13 +87,13 @@ def leiden(pairs: DataFrame, resolution: float = 1.0, passes: int = 10, rounds:
     ids = flows.select(F.col("src").alias("id")).distinct()
     member = storage.materialize(ids.select("id", F.col("id").alias("node")), "member")
     start = None
-    for _ in range(passes):
+    while True:
         weight = flows.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
         nodes = weight.withColumn("label", F.col("id")) if start is None else weight.join(start, "id")
         nodes = storage.materialize(nodes.withColumn("part", F.lit(0)), "nodes")
         before = nodes.select("label").distinct().count()
         inner = flows.where("src <> dst")
-        moved = _local_moves(inner, nodes, two_m, resolution, rounds).select("id", "label")
+        moved = _local_moves(inner, nodes, two_m, resolution).select("id", "label")
         moved = storage.materialize(moved, "moved")
         parts = storage.materialize(connected_parts(inner.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")), moved), "refined")
         member = storage.materialize(member.join(parts.select(F.col("id").alias("node"), F.col("label").alias("to")), "node").select("id", F.col("to").alias("node")), "member")

@@ -272,14 +272,13 @@ def lookup_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def leiden(spark: SparkSession, d: str) -> DataFrame:
-    return community.leiden(graph.undirected(_wiki(spark, d)[1]))
+    return community.leiden(storage.materialize(graph.undirected(_wiki(spark, d)[1]), "pairs"))
 
 
 @query()
 def force_layout(spark: SparkSession, d: str) -> DataFrame:
-    edges = _wiki(spark, d)[1]
-    short = (layout.Pass(4, 0.5, False, 5.0), layout.Pass(2, 0.05, True, 100.0))
-    return layout.layout(graph.undirected(edges), layout.radii(graph.pagerank(edges, 5, None)), short)
+    edges = storage.materialize(_wiki(spark, d)[1], "edges")
+    return layout.layout(graph.undirected(edges), layout.radii(graph.pagerank(edges)))
 
 
 # ---- places and tiles

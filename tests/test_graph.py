@@ -89,16 +89,61 @@ def test_leiden_parts_cliques(spark):
     assert {r.id: r.label for r in community.leiden(pairs).collect()} == got
 
 
-def test_layout_brings_neighbours_together(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_layout_brings_neighbours_together(spark, small):
+    """By distributed rounds and by one task."""
     pairs = two_cliques(spark)
     radius = spark.createDataFrame([(i, 50.0) for i in (*range(6), *range(10, 16))], "id bigint, radius double")
-    at = {r.id: (r.x, r.y) for r in layout.layout(pairs, radius, (Pass(12, 0.5, False, 5.0), Pass(2, 0.05, True, 100.0))).collect()}
+    at = {r.id: (r.x, r.y) for r in layout.layout(pairs, radius, (Pass(12, 0.5, False, 5.0), Pass(2, 0.05, True, 100.0)), small=small).collect()}
     far = lambda a, b: ((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5
     inside = [far(a, b) for a in range(6) for b in range(a)]
     across = [far(a, b) for a in range(6) for b in range(10, 16)]
     assert sum(inside) / len(inside) < sum(across) / len(across) and max(abs(v) for p in at.values() for v in p) == pytest.approx(32768)
 
 
+def test_layout_by_one_task_is_that_of_the_rounds(spark):
+    """Three rounds of a graph whose cells hold one node each, where both are exact."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(7)], "a bigint, b bigint")
+    radius = spark.createDataFrame([(i, 50.0) for i in range(8)], "id bigint, radius double")
+    one, two = ({r.id: (r.x, r.y) for r in layout.layout(pairs, radius, (Pass(3, 0.5, False, 5.0),), grid=256, small=small, still=0.0).collect()} for small in (1000, 0))
+    assert one.keys() == two.keys() and all(abs(p - q) < 1 for i in one for p, q in zip(one[i], two[i]))
+
+
+def test_layout_ends_when_nothing_moves(spark):
+    pairs = two_cliques(spark)
+    radius = spark.createDataFrame([(i, 50.0) for i in (*range(6), *range(10, 16))], "id bigint, radius double")
+    once = layout.layout(pairs, radius, (Pass(1, 0.5, False, 5.0),), small=0).collect()
+    assert sorted(once) == sorted(layout.layout(pairs, radius, (Pass(9, 0.5, False, 5.0),), small=0, still=9.0).collect())
+    nodes = layout.layout(pairs, radius).collect()  # the whole default passes
+    assert len(nodes) == 12 and all(np.isfinite([r.x, r.y]).all() for r in nodes)
+
+
+def test_leiden_is_near_the_best(spark):
+    """Modularity against the best of many runs of plain local moves, one node at a time, in memory."""
+    rng = np.random.default_rng(3)
+    block = np.repeat(np.arange(4), 10)
+    e = [(i, j) for i in range(40) for j in range(i + 1, 40) if rng.random() < (0.5 if block[i] == block[j] else 0.04)]
+    pairs = spark.createDataFrame(e, "a bigint, b bigint")
+    adj = np.zeros((40, 40))
+    for i, j in e:
+        adj[i, j] = adj[j, i] = 1
+    k, m2 = adj.sum(1), adj.sum()
+    quality = lambda lab: ((adj - np.outer(k, k) / m2) * (lab[:, None] == lab)).sum() / m2
+    best = quality(block)
+    for _ in range(20):
+        lab, moved = np.arange(40), True
+        while moved:
+            moved = False
+            for i in rng.permutation(40):
+                gains = {c: quality(np.where(np.arange(40) == i, c, lab)) for c in set(lab[adj[i] > 0])}
+                c = max(gains, key=gains.get)
+                if gains[c] > quality(lab) + 1e-12:
+                    lab[i], moved = c, True
+        best = max(best, quality(lab))
+    got = community.modularity(pairs, community.leiden(pairs)).first()[0]
+    assert got >= 0.97 * best
+
+
 def test_relax_ends_without_overlaps(spark):
     nodes = spark.createDataFrame([(i, float(i % 5) * 8, float(i // 5) * 8, 5.0 + i % 3) for i in range(25)] + [(25, 0.0, 0.0, 5.0)], "id bigint, x double, y double, radius double")
     assert overlap.overlaps(nodes).count() > 0
