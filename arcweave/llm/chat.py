@@ -136,7 +136,10 @@ def _windows_of(budget: int, turns: int, share: float, segment: int, vocabulary:
         rows, held = [], 0
 
         def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), _KINDS)], schema=schema)
+            *plain, tokens, targets = zip(*rows)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (tokens, targets)]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(plain, _KINDS)] + lists, schema=schema)
 
         for batch in batches:
             for at in range(batch.num_rows):
