@@ -189,7 +189,7 @@ def _stars(rows: DataFrame) -> DataFrame:
 def near_pairs(documents: DataFrame, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS, similar: float = SIMILAR, slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
     """(copies, pairs): exact copies (a, b), b > a the first document with that text; and verified pairs
     (a, b, similarity) among the first documents of each text."""
-    docs = _texts(documents)
+    docs = _texts(util.small_batches(documents))
     lean = docs.select("doc", F.md5("text").alias("sum"))
     first = lean.groupBy("sum").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
     copied = first.where("a < z")

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm import textnum
+from arcweave.llm import textnum, util
 
 MODEL = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Bytes of words and ids that a task keeps from one run of texts to the next; it starts afresh beyond that, and at its end.
-CACHED = 64 << 20
+CACHED = 32 << 20
 MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -159,7 +159,7 @@ class Piece:
         with open(path, "rb") as f:
             data = f.read()
         m = self.model = parse(data)
-        self.plain, self.joined = bare(m), bare(m, True)
+        self.joined = bare(m, True)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_word = splits(m) and m.bpe and m.dummy_prefix and not m.charsmap and not m.squeeze and USER not in m.kinds
         self.forget()
@@ -177,6 +177,11 @@ class Piece:
             return " \u2047 ".encode()
         return (piece.replace(MARK, " ") if self.model.escape else piece).encode()
 
+    @cached_property
+    def plain(self):
+        """For words of several spaces."""
+        return bare(self.model)
+
     @cached_property
     def tokenizer(self):
         """For whole texts; seldom needed where words can be told apart."""
@@ -294,7 +299,7 @@ def _encode(path: str, threads: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         p = load(path)
         for batch in batches:
-            for part in textnum.pieces(batch, "text", 2 << 20):
+            for part in textnum.pieces(batch, "text", 1 << 20):
                 texts = part.column(1)
                 null, plain = np.asarray(texts.is_null()), texts.fill_null("").to_pylist()
                 ids, rows = p.encode(texts)
@@ -315,7 +320,7 @@ def encode_documents(documents: DataFrame, model: str = MODEL, threads: int = 2)
     Defined results. A null text has nulls; an empty one no ids; a null doc_id stays null; repeated rows repeat. Very long
     texts, and words of any length, are encoded whole, in one task. There are no ties. Strings that look like special
     tokens are ordinary text. Other columns are not read, so their names can't clash. An empty table gives an empty result."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = util.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_encode(model, threads), "doc_id long, n_tokens int, ids array<int>, round_trip boolean, parity boolean")
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm import textnum
+from arcweave.llm import textnum, util
 
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -169,7 +169,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_secrets(documents: DataFrame) -> DataFrame:
     """(doc_id, rule, start_char, end_char, checksum, evidence, fingerprint), one row for each secret; never the secret itself."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = util.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_find, "doc_id long, rule string, start_char long, end_char long, checksum boolean, evidence string, fingerprint string")
 
 
@@ -196,4 +196,4 @@ def redact(documents: DataFrame) -> DataFrame:
                         cols[count] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, cols[count].to_pylist())], cols[count].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
-    return documents.mapInArrow(run, documents.schema)
+    return util.small_batches(documents).mapInArrow(run, documents.schema)

@@ -71,7 +71,7 @@ def pack(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, separa
                     at += n
         system.move(trial, posixpath.join(root, name))
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    docs = util.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return util.materialize(docs.mapInArrow(run, "file string, position long, doc_id long"), "manifest")
 
 

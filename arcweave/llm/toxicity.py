@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweave.llm import textnum
+from arcweave.llm import textnum, util
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
@@ -118,7 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, prior: float = PRIOR, max_posit
     lab = lab.groupBy("doc").agg(F.max("toxic").alias("toxic")).withColumn("turn", F.xxhash64("doc"))
     pos = lab.where("toxic = 1").orderBy("turn", "doc").limit(max_positive).select("doc", F.lit(True).alias("positive"))
     unl = lab.orderBy("turn", "doc").limit(max_unlabelled).select("doc", F.lit(False).alias("positive"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
+    docs = util.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null")
     sample = docs.join(F.broadcast(pos.unionByName(unl)), "doc").select("positive", "text")  # at most max_positive + max_unlabelled ids
     rows = sample.mapInArrow(_extract, "positive boolean, features binary").toArrow()
     sets = {True: [], False: []}
@@ -147,7 +147,7 @@ def logits(model: Classifier, texts: pa.Array) -> np.ndarray:
 
 
 def _scored(df: DataFrame, model: Classifier, text: str, name: str) -> DataFrame:
-    at = df.columns.index(text)
+    at = util.small_batches(df).columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

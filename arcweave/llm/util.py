@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 from arcweave.storage import filesystem, materialize, new_path, release, shared_dir, write_whole  # noqa: F401
 
 
+#: Bytes of the Arrow batches in which texts go to Python workers; Spark's 64 MB, twice over while they grow, would be held
+#: by every task on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after setting its session's limit of bytes for such batches to at most BATCH_BYTES; no result depends on it."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = conf.get(name).removesuffix("b")
+    if not now.isdecimal() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def _free(rows: DataFrame, name: str) -> str:
     while name in rows.columns:
         name += "_"
