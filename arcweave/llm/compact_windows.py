@@ -1,24 +1,20 @@
-"""Substring near-duplicates by compact windows.
-
-The token sequence of a document is its runs of GRAM words. For each of HASHES hash functions, all its subsequences of
-at least MIN_WORDS words fall into few compact windows (left, centre, right): whatever starts in left..centre and ends in
-centre..right has its min-hash at centre. They are the nodes of the Cartesian tree over the hashed tokens that span
-enough tokens, about 2n / MIN_WORDS of them; found here with sliding minima and pointer jumps over whole batches.
-
-Windows that share a min-hash meet the first document that has it (a star: an often repeated passage costs as many pairs
-as it has copies), and the first that also has the same run of RUN tokens after it, before it, or half to each side. A
-passage repeated exactly holds one of these three runs whole, and documents that share a run are similar around it, as it
-is two thirds of the shortest passage; so those stars find it, while set phrases in other surroundings, however many, meet
-few others. The interval in which two windows agree is cut out, and intervals of one pair of documents near one diagonal
-are merged. Where at least ENOUGH functions agree, or one and a run, the words of both intervals are fetched and compared.
-Runs are known by marks of 21 bits: windows whose min-hash stands in no accepted passage, as the first with their mark had
-another run, go on to the next with it, in batches that grow by NEXT, until each has met a passage or every earlier one.
-A passage repeated exactly collides in every function; one with token Jaccard similarity J in a share J of them.
+"""Substring near-duplicates: passages of at least MIN_WORDS words that are similar to passages of earlier documents.
+
+The token sequence of a document is its runs of GRAM words. Candidates come from shared_tokens: documents that keep a common
+token, which any similar windows of MIN_WORDS words do. Each document is compared with the first one of each of its tokens, as a
+whole between its first and last token kept. Accepted passages that overlap in a document make one stretch of it, and stretches
+that passages connect make a class. Then all other pairs of documents that keep a token are compared, unless it stands in
+passages of one class in both: such links are those of the class, so that copies aren't expanded into all pairs.
+
+windows(), seats() and meet_heads() are the candidates by min-hash of before, which miss links; the query doesn't use them. For
+each of HASHES hash functions, all subsequences of at least MIN_WORDS words fall into few compact windows (left, centre, right):
+whatever starts in left..centre and ends in centre..right has its min-hash at centre.
 
 Defined results. Null text or null doc_id, empty texts and texts under MIN_WORDS words: no rows. Rows that repeat a
 doc_id count as one document (one with itself is no pair), so a passage repeated only inside one document is not
-reported. A very long text is one row of one task; its windows are numbers that move by themselves. Runs of one repeated word collapse into one window. An empty table gives an empty result. Other columns are
-not read, so their names can't clash. Ties of the first document, and of equal windows, are broken by position.
+reported. A very long text is one row of one task. An empty table gives an empty result. Other columns are
+not read, so their names can't clash. The first document of a token is
+the one with the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -31,15 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arcweave.llm import textnum, util
+from arcweave.llm import shared_tokens, textnum, util
 
 MIN_WORDS = 50
 GRAM = 5
 HASHES = 6
 ENOUGH = 2
 SIMILAR = 0.5
-DRIFT = 16
-NEXT = 8
 #: Tokens of a run: with the centre 31, of the 46 of the shortest passage, which makes a similarity of a half.
 RUN = 30
 #: Words whose tokens are compared in one go.
@@ -215,39 +209,6 @@ def meet_heads(windows: DataFrame, width: int) -> DataFrame:
     return _met(pairs.select("*", F.col("p.doc").alias("p_doc"), same.alias("same"), *[part(k, "p.pos", "p.far").alias("p_" + k) for k in PARTS]), width)
 
 
-def meet(windows: DataFrame, shared: DataFrame, width: int, low: int, high: int) -> DataFrame:
-    """Windows with those earlier ones of ranks low to high that share their min-hash and a run's mark."""
-    out = None
-    for side in SIDES:
-        rank = F.col(f"rank_{side}")
-        p = shared.where((rank >= low) & (rank < high)).select("h", side, *[F.col(c).alias("p_" + c) for c in ("doc", *PARTS)], rank.alias("p_rank"))
-        met = _met(windows.where(rank > low).join(p, ["h", side]).where(F.col("p_rank") < rank).withColumn("same", F.lit(True)), width)
-        out = met if out is None else out.unionByName(met)
-    return out.distinct()
-
-
-def candidates(pairs: DataFrame, gram: int = GRAM, enough: int = ENOUGH) -> DataFrame:
-    """(b, sb, eb, a, sa, ea): word ranges (ends excluded) of documents a < b in which at least `enough` functions, or fewer and
-    a run, agree, of which something is new."""
-    by_shift = Window.partitionBy("b", "a").orderBy("shift", "at")
-    pairs = pairs.withColumn("jump", (F.col("shift") - F.lag("shift").over(by_shift) > DRIFT).cast("int"))
-    pairs = pairs.withColumn("line", F.sum(F.coalesce("jump", F.lit(0))).over(by_shift))
-    by_line = Window.partitionBy("b", "a", "line").orderBy(F.col("at") - F.col("before"), "at", "shift")
-    reach = F.max(F.col("at") + F.col("after")).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
-    pairs = pairs.withColumn("gap", (F.col("at") - F.col("before") > reach + 1).cast("int"))
-    pairs = pairs.withColumn("run", F.sum(F.coalesce("gap", F.lit(0))).over(by_line))
-    return (
-        pairs.groupBy("b", "a", "line", "run")
-        .agg(
-            F.expr("bit_count(bit_or(k))").alias("agree"), F.max("new").alias("new"),
-            F.min(F.col("at") - F.col("before")).alias("sb"), (F.max(F.col("at") + F.col("after")) + gram).alias("eb"),
-            F.min(F.col("at") - F.col("shift") - F.col("before")).alias("sa"), (F.max(F.col("at") - F.col("shift") + F.col("after")) + gram).alias("ea"),
-        )
-        .where((F.col("agree") >= enough) & F.col("new"))
-        .select("b", "sb", "eb", "a", "sa", "ea")
-    )
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, regions) -> the words of each region as 32-bit hashes."""
     schema = pa.schema([("doc", pa.int64()), ("region", pa.int32()), ("words", pa.list_(pa.int32()))])
@@ -333,11 +294,38 @@ def _overlaps(words: list[np.ndarray], offsets: list[np.ndarray], gram: int) ->
     return np.bincount(np.concatenate(pair)[at], np.minimum(x, y), n)
 
 
+def _left(tb: np.ndarray, ta: np.ndarray, out: list[tuple[int, int]], least: int, needed: int, similar: float) -> list[tuple[int, int, float]]:
+    """Windows of `least` tokens of tb outside the ranges `out` that are similar to one of ta: (start, start in ta, similarity),
+    by trying every pair that has enough tokens in common."""
+    if min(len(tb), len(ta)) < least:
+        return []
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[[np.arange(len(x) - least + 1), np.arange(least, len(x) + 1)]], axis=0)[0]
+    free = np.isin(tb, ta)
+    taken = np.zeros(len(tb), bool)
+    for s, e in out:
+        taken[s:e] = True
+    found, end = [], 0
+    for i in np.flatnonzero((sums(free) >= needed) & (sums(taken) == 0)).tolist():
+        if i < end:
+            continue
+        own, x = np.unique(tb[i : i + least], return_counts=True)
+        spot = np.minimum(np.searchsorted(own, ta), len(own) - 1)
+        there = own[spot] == ta
+        for j in np.flatnonzero(sums(there) >= needed).tolist():
+            both = np.minimum(x, np.bincount(spot[j : j + least][there[j : j + least]], minlength=len(own))).sum()
+            if both >= similar * (2 * least - both):
+                found.append((i, j, float(both / (2 * least - both))))
+                end = i + least
+                break
+    return found
+
+
 def compare(b: np.ndarray, a: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM, similar: float = SIMILAR) -> list[tuple]:
     """Passages of at least min_words words of b and a (arrays of words) with multiset Jaccard similarity of their tokens
     of at least `similar`: (start b, end b, start a, end a, similarity), found from the longest, then left and right of it.
     A run that isn't similar as a whole is parted at its longest stretch of misses, in b or in a, and its parts are tested;
-    one without misses, whose sides differ in how often they hold a token, at its longest common stretch."""
+    one without misses, whose sides differ in how often they hold a token, at its longest common stretch. Where all that
+    leaves min_words words of b which are similar to as many of a, these are added."""
     tokens = [textnum.grams(textnum.mix(x.astype(np.int64).view(textnum.U)), np.array([0, len(x)]), gram)[0] for x in (b, a)]
     _, ids = np.unique(np.concatenate(tokens), return_inverse=True)
     tb, ta = ids[: len(tokens[0])], ids[len(tokens[0]) :]
@@ -392,6 +380,8 @@ def compare(b: np.ndarray, a: np.ndarray, min_words: int = MIN_WORDS, gram: int
             else:
                 i, n = (e - s) // 2, 0
             todo += [(s, s + i, a0, a1), (s + i + n, e, a0, a1)]
+    for s, u, sim in _left(tb, ta, [(s, e - gram + 1) for s, e, *_ in out], least, needed, similar):
+        out.append((s, s + min_words, u, u + min_words, sim))
     return list(dict.fromkeys(out))
 
 
@@ -422,59 +412,79 @@ def _verify(min_words: int, gram: int, similar: float):
     return run
 
 
-def _checked(documents: DataFrame, found: DataFrame, min_words: int, gram: int, similar: float) -> DataFrame:
-    """The accepted passages of candidates."""
-    sides = found.select(F.col("b").alias("doc"), F.col("sb").alias("s"), F.col("eb").alias("e")).unionByName(found.select(F.col("a").alias("doc"), F.col("sa").alias("s"), F.col("ea").alias("e"))).distinct()
+def _words(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc, s, words): the words s to e of the documents of spans (doc, s, e)."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
+    docs = util.among(docs, spans.select("doc"), "doc")
+    regions = spans.select("doc", F.array(F.struct("s", "e")).alias("regions"))
+    words = docs.join(regions, "doc").select("doc", "text", "regions").mapInArrow(_cut, "doc long, region int, words array<int>")
+    return util.materialize(words.withColumnRenamed("region", "s"), "words")
+
+
+def _checked(words: DataFrame, pairs: DataFrame, min_words: int, gram: int, similar: float) -> DataFrame:
+    """The accepted passages of pairs (b, a) of documents."""
+    side = lambda k: words.select(F.col("doc").alias(k), F.col("s").alias("s" + k), F.col("words").alias("w" + k))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("b", "sb", "a", "sa", "wb", "wa")
+    return both.mapInArrow(_verify(min_words, gram, similar), "doc_id long, start_word int, end_word int, other_doc_id long, other_start_word int, other_end_word int, similarity double")
+
+
+SIDE_B, SIDE_A = ("doc_id", "start_word", "end_word"), ("other_doc_id", "other_start_word", "other_end_word")
+
+
+def _classes(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stretches, passages): what passages that overlap cover of a document, (doc, s, e, class), and the passages with their
+    class: the smallest document, and the first word there, of all stretches that passages connect."""
+    named = lambda side: passages.select(*[F.col(c).alias(k) for c, k in zip(side, ("doc", "s", "e"))])
     by_doc = Window.partitionBy("doc").orderBy("s", "e")
     reach = F.max("e").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    sides = sides.withColumn("new", F.coalesce((F.col("s") > reach).cast("int"), F.lit(1)))
-    sides = sides.withColumn("region", F.max(F.when(F.col("new") == 1, F.col("s"))).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    sides = util.materialize(sides.select("doc", "s", "e", "region"), "passages")
-    wanted = sides.groupBy("doc", "region").agg(F.max("e").alias("e")).groupBy("doc").agg(F.collect_list(F.struct(F.col("region").alias("s"), "e")).alias("regions"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
-    docs = util.among(docs, sides.select("doc").distinct(), "doc")
-    words = docs.join(wanted, "doc").select("doc", "text", "regions").mapInArrow(_cut, "doc long, region int, words array<int>")
-    words = util.materialize(words, "passages")
-    side = lambda d, s, e: sides.select(F.col("doc").alias(d), F.col("s").alias(s), F.col("e").alias(e), F.col("region").alias("r" + d))
-    cut = lambda d, s, e: F.slice("words", F.col(s) - F.col("region") + 1, F.col(e) - F.col(s))
-    pairs = found.join(side("a", "sa", "ea"), ["a", "sa", "ea"]).join(side("b", "sb", "eb"), ["b", "sb", "eb"])
-    pairs = pairs.join(words.withColumnsRenamed({"doc": "a", "region": "ra"}).withColumn("region", F.col("ra")), ["a", "ra"]).withColumn("wa", cut("a", "sa", "ea")).drop("words", "region")
-    pairs = pairs.join(words.withColumnsRenamed({"doc": "b", "region": "rb"}).withColumn("region", F.col("rb")), ["b", "rb"]).withColumn("wb", cut("b", "sb", "eb"))
-    return pairs.select("b", "sb", "a", "sa", "wb", "wa").mapInArrow(_verify(min_words, gram, similar), "doc_id long, start_word int, end_word int, other_doc_id long, other_start_word int, other_end_word int, similarity double")
+    sides = named(SIDE_B).unionByName(named(SIDE_A)).distinct().withColumn("first", F.when(F.coalesce(F.col("s") >= reach, F.lit(True)), F.col("s")))
+    sides = sides.withColumn("first", F.max("first").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = sides.groupBy("doc", "first").agg(F.max("e").alias("e")).withColumn("id", F.monotonically_increasing_id())
+    merged = util.materialize(merged, "stretches")
+    held = sides.join(merged.drop("e"), ["doc", "first"]).select("doc", "s", "e", "id")
+    of = lambda side, k: held.select(*[F.col(c).alias(n) for c, n in zip(("doc", "s", "e", "id"), (*side, k))])
+    tied = util.materialize(passages.join(of(SIDE_B, "a"), [*SIDE_B]).join(of(SIDE_A, "b"), [*SIDE_A]), "passages")
+    group = util.components(tied.select("a", "b"))
+    grouped = merged.join(group, "id")
+    name = grouped.groupBy("group").agg(F.min(F.struct("doc", "first")).alias("name"))
+    grouped = util.materialize(grouped.join(name, "group"), "stretches")
+    labels = grouped.select(F.col("id").alias("a"), F.col("name.doc").alias("class_doc_id"), F.col("name.first").alias("class_start_word"))
+    stretches = grouped.select("doc", F.col("first").alias("s"), "e", F.col("group").alias("class"))
+    return stretches, tied.join(labels, "a").select(*SIDE_B, *SIDE_A, "similarity", "class_doc_id", "class_start_word")
+
+
+def _apart(held: DataFrame, stretches: DataFrame, gram: int) -> DataFrame:
+    """Pairs (b, a) of documents that keep a token, but not both in passages of one class."""
+    of = stretches.groupBy("doc").agg(F.collect_list(F.struct("s", "e", "class")).alias("of"))
+    own = held.join(of, "doc", "left").select("key", "doc", F.expr(f"get(filter(of, x -> x.s <= pos and pos + {gram} <= x.e), 0).class").alias("class")).distinct()
+    by = Window.partitionBy("key")
+    own = own.withColumns({"low": F.min("class").over(by), "high": F.max("class").over(by), "none": F.max(F.col("class").isNull()).over(by)})
+    own = util.materialize(own.where("none or low < high").select("key", "doc", "class"), "tokens")
+    b, a = (own.select("key", F.col("doc").alias(k), F.col("class").alias("class_" + k)) for k in "ba")
+    return b.join(a, "key").where("a < b and not coalesce(class_a = class_b, false)").select("b", "a").distinct()
 
 
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hashes: int = HASHES, enough: int = ENOUGH, similar: float = SIMILAR) -> DataFrame:
-    """One row for each passage of doc_id that (nearly) repeats one of other_doc_id, the first document with it (or one of
-    the next, in a round that tries several): word ranges of both (ends excluded; words as in textnum) and the multiset
-    Jaccard similarity of their tokens."""
+    """One row for each passage of doc_id that (nearly) repeats one of other_doc_id, an earlier document: word ranges of both
+    (ends excluded; words as in textnum), the multiset Jaccard similarity of their tokens, and the class of passages that both
+    are in. hashes and enough are those of min-hash candidates; no result depends on them."""
+    if not 1 <= hashes <= 16 or not gram <= min_words:
+        raise ValueError("1 to 16 hash functions, and passages of at least one token")
     width = min_words - gram + 1
-    shared = util.materialize(seats(documents, min_words, gram, hashes), "windows")
-    todo = held = shared
-    low, high, met, passages = 0, 1, None, None
-    while True:
-        new = util.materialize(meet_heads(todo, width) if not low else meet(todo, shared, width, low, high), "meetings")
-        pairs = new.withColumn("new", F.lit(True))
-        if met is not None:
-            pairs = pairs.unionByName(met.join(new.select("b", "a").distinct(), ["b", "a"], "left_semi").withColumn("new", F.lit(False)))
-        found = util.materialize(candidates(pairs, gram, enough), "passages")
-        met = new if met is None else met.unionByName(new)
-        if not found.isEmpty():
-            accepted = util.materialize(_checked(documents, found, min_words, gram, similar), "passages")
-            passages = accepted if passages is None else passages.unionByName(accepted)
-            spans = accepted.select("doc_id", "start_word", "end_word").distinct()
-            inside = (F.col("doc") == F.col("doc_id")) & (F.col("at") >= F.col("start_word")) & (F.col("at") + gram <= F.col("end_word"))
-            todo = todo.join(spans, inside, "left_anti")
-        rest = util.materialize(todo.where(F.greatest(*[f"rank_{k}" for k in SIDES]) > high), "windows")
-        if low:
-            util.release(held)
-        todo = held = rest
-        if todo.isEmpty():
-            break
-        if not low:  # the partners that are left have the min-hash of some window that is
-            few = util.materialize(shared.join(todo.select("h").distinct(), "h", "left_semi"), "windows")
-            util.release(shared)
-            shared = few
-        low, high = high, high * NEXT
-    if passages is None:
-        passages = _checked(documents, found, min_words, gram, similar)
-    return passages.distinct()
+    of_key = Window.partitionBy("key")
+    held = shared_tokens.find(documents, width, gram, max(1, _needed(width, similar)))
+    held = held.withColumns({"a": F.min("doc").over(of_key), "z": F.max("doc").over(of_key)}).where("a < z").drop("z")
+    held = util.materialize(held, "tokens")
+    spans = held.groupBy("doc").agg(F.greatest(F.lit(0), F.min("pos") - width + 1).alias("s"), (F.max("pos") + width + gram).alias("e"))
+    words = _words(documents, util.materialize(spans, "spans"))
+    star = util.materialize(held.where("a < doc").select(F.col("doc").alias("b"), "a").distinct(), "pairs")
+    passages = util.materialize(_checked(words, star, min_words, gram, similar).distinct(), "passages")
+    stretches, out = _classes(passages)
+    apart = util.materialize(_apart(held, stretches, gram).join(star, ["b", "a"], "left_anti"), "pairs")
+    util.release(held)
+    if not apart.isEmpty():
+        more = util.materialize(_checked(words, apart, min_words, gram, similar).distinct(), "passages")
+        if not more.isEmpty():
+            out = _classes(passages.unionByName(more))[1]
+    util.release(words)
+    return out
