@@ -305,8 +305,17 @@ def _left(tb: np.ndarray, ta: np.ndarray, out: list[tuple[int, int]], least: int
     for s, e in out:
         taken[s:e] = True
     found, end = [], 0
+    size = int(max(tb.max(), ta.max())) + 1
+    gain = np.concatenate([[0], np.cumsum(np.bincount(ta, minlength=size)[tb])]).tolist()
+    last, lack = 0, 0  # where windows of ta were counted, and how many tokens the best one lacked: so many have to come in
     for i in np.flatnonzero((sums(free) >= needed) & (sums(taken) == 0)).tolist():
-        if i < end:
+        if i < end or gain[i + least] - gain[last + least] < lack:
+            continue
+        marked = np.zeros(size, bool)
+        marked[tb[i : i + least]] = True
+        c = np.concatenate([[0], np.cumsum(marked[ta])])
+        last, lack = i, needed - int((c[least:] - c[:-least]).max())
+        if lack > 0:
             continue
         own, x = np.unique(tb[i : i + least], return_counts=True)
         spot = np.minimum(np.searchsorted(own, ta), len(own) - 1)

@@ -49,3 +49,18 @@ def test_windows_that_the_greedy_comparison_leaves():
     x = np.arange(100)
     y = np.concatenate([np.arange(200, 240), x[20:66], np.arange(300, 320)])
     assert C._left(x, y, [], 46, 31, 0.5)[0][2] >= 0.5 and C._left(x, y, [(40, 60)], 46, 31, 0.5) == []
+
+
+def test_left_windows_as_by_all_pairs():
+    rng = np.random.default_rng(13)
+    for _ in range(40):
+        tb, ta = rng.integers(0, 40, 60), rng.integers(0, 40, 50)
+        tb[20:32] = ta[10:22]
+        got, end, want = C._left(tb, ta, [], 12, 8, 0.5), 0, []
+        for i in range(len(tb) - 11):
+            both = [sum((Counter(tb[i : i + 12].tolist()) & Counter(ta[j : j + 12].tolist())).values()) for j in range(len(ta) - 11)]
+            j = next((j for j, n in enumerate(both) if n >= 8 and n >= 0.5 * (24 - n)), None)
+            if i >= end and j is not None:
+                want.append((i, j, both[j] / (24 - both[j])))
+                end = i + 12
+        assert got == want
