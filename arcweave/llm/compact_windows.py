@@ -1,10 +1,12 @@
 """Substring near-duplicates: passages of at least MIN_WORDS words that are similar to passages of earlier documents.
 
 The token sequence of a document is its runs of GRAM words. Candidates come from shared_tokens: documents that keep a common
-token, which any similar windows of MIN_WORDS words do. Each document is compared with the first one of each of its tokens, as a
-whole between its first and last token kept. Accepted passages that overlap in a document make one stretch of it, and stretches
-that passages connect make a class. Then all other pairs of documents that keep a token are compared, unless it stands in
-passages of one class in both: such links are those of the class, so that copies aren't expanded into all pairs.
+element of windows, which any similar windows of MIN_WORDS words do. Each document is compared with the first one of each of its
+elements, as a whole between its first and last window with one. Accepted passages that overlap in a document make one stretch of
+it, and stretches that passages connect make a class. Then all other pairs of documents that keep an element are compared, unless
+the windows with it overlap passages of one class in both: such links are those of the class, so that copies aren't expanded into
+all pairs. Where passages don't hold all of these windows that other documents hold, documents are compared with one more partner,
+the first such one. So any two similar windows of two documents overlap passages of one class, or their documents were compared.
 
 windows(), seats() and meet_heads() are the candidates by min-hash of before, which miss links; the query doesn't use them. For
 each of HASHES hash functions, all subsequences of at least MIN_WORDS words fall into few compact windows (left, centre, right):
@@ -427,7 +429,7 @@ def _words(documents: DataFrame, spans: DataFrame) -> DataFrame:
     docs = util.among(docs, spans.select("doc"), "doc")
     regions = spans.select("doc", F.array(F.struct("s", "e")).alias("regions"))
     words = docs.join(regions, "doc").select("doc", "text", "regions").mapInArrow(_cut, "doc long, region int, words array<int>")
-    return util.materialize(words.withColumnRenamed("region", "s"), "words")
+    return util.materialize(words.select("doc", F.col("region").alias("s"), F.size("words").alias("n"), "words"), "words")
 
 
 def _checked(words: DataFrame, pairs: DataFrame, min_words: int, gram: int, similar: float) -> DataFrame:
@@ -462,15 +464,31 @@ def _classes(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stretches, tied.join(labels, "a").select(*SIDE_B, *SIDE_A, "similarity", "class_doc_id", "class_start_word")
 
 
-def _apart(held: DataFrame, stretches: DataFrame, gram: int) -> DataFrame:
-    """Pairs (b, a) of documents that keep a token, but not both in passages of one class."""
-    of = stretches.groupBy("doc").agg(F.collect_list(F.struct("s", "e", "class")).alias("of"))
-    own = held.join(of, "doc", "left").select("key", "doc", F.expr(f"get(filter(of, x -> x.s <= pos and pos + {gram} <= x.e), 0).class").alias("class")).distinct()
+def _seen(held: DataFrame, words: DataFrame, stretches: DataFrame, min_words: int, gram: int) -> DataFrame:
+    """(key, doc, class, inside) of the elements kept: the least class of which each window with the element overlaps a passage,
+    null if there is none; and whether one stretch holds all their tokens that other documents hold."""
+    of = stretches.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e", "class"))).alias("of"))
+    ends = words.groupBy("doc").agg(F.max(F.col("s") + F.col("n")).alias("ends"))
+    near = held.select("key", "doc", *shared_tokens.COLUMNS).join(ends.join(of, "doc", "left"), "doc")
+    near = near.withColumn("high", F.greatest(F.lit(0), F.least("high", F.col("ends") - min_words))).withColumn("low", F.least("low", "high"))
+    near = near.select("key", "doc", *shared_tokens.COLUMNS, F.expr(f"filter(of, x -> x.s < high + {min_words} and x.e > low)").alias("of"))
+    met = f"size(of) > 0 and of[0].s < low + {min_words} and element_at(of, -1).e > high and forall(sequence(1, size(of)), i -> i = size(of) or of[i].s - of[i - 1].e < {min_words})"
+    one = f"array_min(filter(array_distinct(transform(of, x -> x.class)), c -> exists(array(filter(of, x -> x.class = c)), of -> {met})))"
+    inside = F.expr(f"coalesce(exists(of, x -> x.s <= start and end + {gram - 1} <= x.e), false)")
+    return near.select("key", "doc", F.expr(one).alias("class"), inside.alias("inside"))
+
+
+def _apart(seen: DataFrame) -> DataFrame:
+    """Pairs (b, a) of documents that keep an element, but not both in windows that overlap passages of one class; and, for each
+    element, of those documents but its first whose passages don't hold its windows' tokens, each with the first of these."""
     by = Window.partitionBy("key")
-    own = own.withColumns({"low": F.min("class").over(by), "high": F.max("class").over(by), "none": F.max(F.col("class").isNull()).over(by)})
-    own = util.materialize(own.where("none or low < high").select("key", "doc", "class"), "tokens")
-    b, a = (own.select("key", F.col("doc").alias(k), F.col("class").alias("class_" + k)) for k in "ba")
-    return b.join(a, "key").where("a < b and not coalesce(class_a = class_b, false)").select("b", "a").distinct()
+    own = seen.withColumns({"low": F.min("class").over(by), "high": F.max("class").over(by), "none": F.max(F.col("class").isNull()).over(by), "head": F.min("doc").over(by)})
+    own = own.withColumn("first", F.min(F.when(F.expr("not inside and doc <> head"), F.col("doc"))).over(by))
+    own = own.withColumns({"apart": F.expr("none or low < high"), "second": F.expr("not inside and doc <> head and first < doc")}).where("apart or second")
+    own = util.materialize(own.select("key", "doc", "class", "apart", F.expr("if(second, first, null)").alias("first")), "tokens")
+    b, a = (own.where("apart").select("key", F.col("doc").alias(k), F.col("class").alias("class_" + k)).distinct() for k in "ba")
+    every = b.join(a, "key").where("a < b and not coalesce(class_a = class_b, false)").select("b", "a")
+    return every.unionByName(own.where("first is not null").select(F.col("doc").alias("b"), F.col("first").alias("a"))).distinct()
 
 
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hashes: int = HASHES, enough: int = ENOUGH, similar: float = SIMILAR) -> DataFrame:
@@ -484,12 +502,12 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS, gram: in
     held = shared_tokens.find(documents, width, gram, max(1, _needed(width, similar)))
     held = held.withColumns({"a": F.min("doc").over(of_key), "z": F.max("doc").over(of_key)}).where("a < z").drop("z")
     held = util.materialize(held, "tokens")
-    spans = held.groupBy("doc").agg(F.greatest(F.lit(0), F.min("pos") - width + 1).alias("s"), (F.max("pos") + width + gram).alias("e"))
+    spans = held.groupBy("doc").agg(F.min("low").alias("s"), (F.max("high") + min_words).alias("e"))
     words = _words(documents, util.materialize(spans, "spans"))
     star = util.materialize(held.where("a < doc").select(F.col("doc").alias("b"), "a").distinct(), "pairs")
     passages = util.materialize(_checked(words, star, min_words, gram, similar).distinct(), "passages")
     stretches, out = _classes(passages)
-    apart = util.materialize(_apart(held, stretches, gram).join(star, ["b", "a"], "left_anti"), "pairs")
+    apart = util.materialize(_apart(_seen(held, words, stretches, min_words, gram)).join(star, ["b", "a"], "left_anti"), "pairs")
     util.release(held)
     if not apart.isEmpty():
         more = util.materialize(_checked(words, apart, min_words, gram, similar).distinct(), "passages")

@@ -1,10 +1,12 @@
 """Tokens by which every two similar windows of different documents can be found, exactly.
 
-A window is `width` tokens (runs of words) in a row; two are similar if they have at least `needed` tokens in common. All
-tokens are ordered by the number of documents that hold them, then by hash. The smallest token that two similar windows have
-in common has, in both, at least `needed` tokens of more than one document that aren't smaller. So only such tokens are kept
-(the prefix filter of exact similarity joins, for the windows at every position), and every two similar windows keep one that
-both have. A phrase that many documents hold is kept only where nearly all around it is as frequent.
+A window is `width` tokens (runs of words) in a row; two are similar if they have at least `needed` tokens in common, each as
+often as both hold it. So its elements are (token, 1), (token, 2) and so on up to how often it holds the token. They are
+ordered by the number of documents that hold the token, then by its hash, then from the last occurrence to the first. The
+smallest element that two similar windows have in common has, in both, at least `needed` elements of tokens of more than one
+document that aren't smaller. So only such elements are kept, the window's prefix (the prefix filter of exact similarity joins,
+for the windows at every position), and every two similar windows keep one that both have. A phrase that many documents hold
+is kept only where nearly all around it is as frequent, and one that fills a window alone only as often as makes it similar.
 
 Tokens move once, to be counted, as 50 bits of hash with document and position, packed by columns of bytes and compressed; the
 few that several documents hold move back to their documents. Equal bits of different tokens can add candidates, not lose them.
@@ -149,22 +151,77 @@ def kept(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, width: int, needed:
     return out
 
 
+def elements(doc: np.ndarray, pos: np.ndarray, key: np.ndarray, width: int, needed: int, at_once: int = 1 << 15) -> tuple[np.ndarray, ...]:
+    """(key, doc, low, high, start, end): the prefix elements of the windows, for tokens sorted by document and position. A window
+    that has the element in its prefix starts in low..high of one of its rows, and the tokens that it holds stand in start to end;
+    not all windows that start there need to have it. The key of a token's first occurrence is the token's. A document whose positions occur twice, as it has several rows, has all elements
+    that its tokens allow."""
+    n = len(key)
+    none = np.zeros(0, U), *(np.zeros(0, np.int64),) * 5
+    if not n:
+        return none
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    of = np.cumsum(new) - 1
+    place = of * (int(pos.max()) + width + 1) + pos
+    twice = np.isin(of, of[1:][place[1:] == place[:-1]])
+    first = np.where(new, 0, np.concatenate([[0], pos[:-1] + 1]))  # windows from the token before to this one hold no others
+    pad_key, pad_place = np.append(key.astype(np.int64), np.zeros(width, np.int64)), np.append(place, np.full(width, place[-1] + 2 * width))
+    keys, places = (np.lib.stride_tricks.sliding_window_view(x, width) for x in (pad_key, pad_place))
+    reach = pad_place[needed - 1 : needed - 1 + n] - place  # how far the last of `needed` tokens is
+    last = np.searchsorted(place, place + width) - 1
+    full = np.flatnonzero((reach < width) & ~twice)
+    found = [none]
+    for s in range(0, len(full), at_once):
+        i = full[s : s + at_once]
+        inside = np.sort(np.where(places[i] - place[i, None] < width, keys[i], 0), 1)
+        rest = np.ones(inside.shape, np.uint8)  # how many equal ones are left from there
+        for j in range(width - 2, -1, -1):
+            rest[:, j] += np.where(inside[:, j] == inside[:, j + 1], rest[:, j + 1], 0).astype(np.uint8)
+        on = inside[:, : width - needed + 1] > 0
+        at = np.repeat(i, on.sum(1))
+        token, nth = inside[:, : width - needed + 1][on].view(U), rest[:, : width - needed + 1][on]
+        e, row = _nth(token, nth), np.repeat(np.arange(len(i)), on.sum(1))
+        order = np.argsort(textnum.mix(e, 73) << U(15) | row.astype(U))  # windows of an element in order, at_once is 15 bits at most
+        e, at = e[order], at[order]
+        low = np.maximum(first[at], pos[at] + reach[at] - width + 1)
+        cut = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (of[at[1:]] != of[at[:-1]]) | (low[1:] > pos[at[:-1]] + width)])) if len(e) else np.zeros(0, np.int64)
+        end = at[np.append(cut[1:], len(e)) - 1] if len(cut) else at
+        found.append((e[cut], doc[at[cut]], low[cut], pos[end], pos[at[cut]], pos[last[end]] + 1))
+    if twice.any():
+        t = np.flatnonzero(twice)
+        t = t[np.lexsort((key[t], of[t]))]
+        fresh = np.concatenate([[True], (key[t][1:] != key[t][:-1]) | (of[t][1:] != of[t][:-1])])
+        nth = np.arange(len(t)) - np.maximum.accumulate(np.where(fresh, np.arange(len(t)), 0)) + 1
+        t, nth = t[nth <= width], nth[nth <= width]
+        start, most = np.zeros(len(t), np.int64), np.full(len(t), int(pos[twice].max()))
+        found.append((_nth(key[t], nth), doc[t], start, most, start, most + 1))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _nth(token: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    return np.where(nth == 1, token, textnum.mix(token, 67) + textnum.mix(nth.astype(U), 71)).astype(U)
+
+
+COLUMNS = ("low", "high", "start", "end")
+FOUND = "key long, doc long, " + ", ".join(f"{c} int" for c in COLUMNS)
+
+
 def _keep(width: int, needed: int):
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), *[(c, pa.int32()) for c in COLUMNS]])
 
     def each(bucket: int, doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((pos, doc))
-        doc, pos, key = doc[order], pos[order], key[order]
-        on = kept(doc, pos, key, width, needed)
-        if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[on].view(np.int64)), pa.array(doc[on]), pa.array(pos[on].astype(np.int32))], schema=schema)
+        e, d, *rest = elements(doc[order], pos[order], key[order], width, needed)
+        if len(e):
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(d), *[pa.array(x.astype(np.int32)) for x in rest]], schema=schema)
 
     return _by_bucket(8, each)
 
 
 def find(documents: DataFrame, width: int, gram: int, needed: int) -> DataFrame:
-    """(key, doc, pos) of the tokens kept: any windows of two documents with `needed` common tokens have one that both keep."""
+    """The elements kept, as elements() has them: any windows of two documents with `needed` common tokens have one that both
+    keep, and start in low..high of a row of both."""
     docs = util.small_batches(documents).select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
     sent = docs.mapInArrow(_spread(gram, width), ROW_DDL).repartition("bucket").sortWithinPartitions("bucket")
     back = sent.mapInArrow(_count, ROW_DDL).repartition("bucket").sortWithinPartitions("bucket")
-    return back.mapInArrow(_keep(width, needed), "key long, doc long, pos int")
+    return back.mapInArrow(_keep(width, needed), FOUND)

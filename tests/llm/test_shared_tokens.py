@@ -38,6 +38,34 @@ def test_similar_windows_keep_a_common_token():
                             assert x & y
 
 
+def test_similar_windows_keep_a_common_element():
+    rng, width, needed = np.random.default_rng(14), 8, 5
+    for trial in range(60):
+        docs = [np.repeat(rng.integers(0, 25, 30), rng.integers(1, 6 if trial % 2 else 2, 30))[: rng.integers(8, 30)].tolist() for _ in range(5)]
+        many = Counter(t for d in docs for t in set(d))
+        doc, pos, key = (np.array(x) for x in zip(*[(i, p, many[t] << 50 | t) for i, d in enumerate(docs) for p, t in enumerate(d) if many[t] > 1]))
+        rows = list(zip(*(c.tolist() for c in S.elements(doc, pos, key.astype(np.uint64), width, needed, 7))))
+        for b in range(5):
+            for a in range(b):
+                for i in range(len(docs[b]) - width + 1):
+                    for j in range(len(docs[a]) - width + 1):
+                        if sum((Counter(docs[b][i : i + width]) & Counter(docs[a][j : j + width])).values()) >= needed:
+                            x, y = ({r[0]: r for r in rows if r[1] == d and r[2] <= s <= r[3]} for d, s in ((b, i), (a, j)))
+                            assert x.keys() & y.keys()
+    twice = S.elements(np.zeros(4, np.int64), np.array([0, 0, 1, 1]), np.full(4, 2 << 50 | 7).astype(np.uint64), 3, 2)
+    assert len(twice[0]) == 3 and set(twice[3].tolist()) == {1}  # a document of several rows: all that its tokens allow
+
+
+def test_runs_of_a_word_are_one_class_without_all_pairs(spark):
+    """The first document with a run's token holds too little of it to be similar to the others, which are all similar."""
+    rng = np.random.default_rng(15)
+    unique = lambda n: [f"u{k}" for k in rng.integers(0, 1 << 40, n)]
+    inner = [(0, ["rye"] * 30 + ["hops"] * 30), *[(k, ["rye"] * 60) for k in range(1, 41)], *[(k, ["hops"] * 60) for k in range(50, 100)]]
+    got = C.repeated_passages(spark.createDataFrame([(k, " ".join(unique(30) + x + unique(30))) for k, x in inner], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_doc_id) for r in got} == {(k, 1) for k in range(2, 41)} | {(k, 50) for k in range(51, 100)}
+    assert len(got) < 3 * len(inner)
+
+
 def test_packed_tokens_come_back():
     rng = np.random.default_rng(10)
     doc, pos, key = rng.integers(-(1 << 62), 1 << 62, 300), rng.integers(0, 1 << 31, 300), rng.integers(0, 1 << 40, 300).astype(np.uint64)
