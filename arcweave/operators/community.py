@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arcweave import storage
+from arcweave.functions import hashing
 
 #: Modularity that four rounds of moves must gain.
 GAIN = 1e-4
+#: Pairs with which one task does all rounds: some 200 bytes each.
+HELD = 8_000_000
 
 
 def modularity(pairs: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -80,7 +85,14 @@ def connected_parts(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def leiden(pairs: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, label): communities by local moves, refinement and aggregation until nothing moves. Refinement here splits each
     community into connected parts, so that none falls apart; parts become the next pass's nodes and start from the
-    community that they are in. Labels are the smallest id; two runs give the same."""
+    community that they are in. Labels are the smallest id; two runs give the same. At most HELD pairs go through the same
+    rounds in one task."""
+    lean = storage.materialize(pairs.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")), "pairs")
+    if lean.count() <= HELD:
+        out = storage.by_one([lean], lambda t: _in_memory(t, resolution), "id bigint, label bigint", "communities")
+        storage.release(lean)
+        return out
+    pairs = lean
     flows = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("w"))
     flows = storage.materialize(flows, "flows")
     two_m = float(flows.count())
@@ -107,3 +119,81 @@ def leiden(pairs: DataFrame, resolution: float = 1.0) -> DataFrame:
     original = storage.materialize(out, "communities")
     name = Window.partitionBy("label")
     return connected_parts(pairs, original.select("id", F.min("id").over(name).alias("label")))
+
+
+def _roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's connected part."""
+    root = np.arange(n)
+    while True:
+        low, new = np.minimum(root[u], root[v]), root.copy()
+        for at in (u, v, root[u], root[v]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _first(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _moves(ids: np.ndarray, s: np.ndarray, d: np.ndarray, w: np.ndarray, k: np.ndarray, label: np.ndarray, two_m: float, resolution: float) -> np.ndarray:
+    """_local_moves of all nodes over flows without loops; k is 0 for nodes that this pass doesn't have."""
+    n, label = len(ids), label.copy()
+    turn, best, idle = 0, None, 0
+    while idle < 2:
+        total = np.bincount(label, k, n)
+        if turn % 4 == 0:
+            now = w[label[s] == label[d]].sum() / two_m - resolution * ((total / two_m) ** 2).sum()
+            if best is not None and now < best + GAIN:
+                break
+            best = now
+        on = np.flatnonzero((hashing.xxhash64([ids], turn // 2) & 1)[s] == turn % 2)
+        key = s[on] * n + label[d[on]]
+        order = np.argsort(key)
+        key, first = key[order], None
+        first = _first(key)
+        weight = np.add.reduceat(w[on][order], first) if len(first) else np.zeros(0)
+        src, to = np.divmod(key[first], n)
+        stay = to == label[src]
+        own = np.zeros(n)
+        own[src[stay]] = weight[stay]
+        src, to, weight = src[~stay], to[~stay], weight[~stay]
+        gain = (weight - own[src]) - resolution * k[src] * (total[to] - (total[label[src]] - k[src])) / two_m
+        at = _first(src)
+        most = np.repeat(np.maximum.reduceat(gain, at), np.diff(np.append(at, len(src)))) if len(at) else gain
+        hit = np.flatnonzero((gain == most) & (gain > 1e-9))
+        hit = hit[_first(src[hit])]  # labels rise within a node
+        label[src[hit]] = to[hit]
+        idle, turn = 0 if len(hit) else idle + 1, turn + 1
+    return label
+
+
+def _in_memory(table: pa.Table, resolution: float) -> dict:
+    """leiden() over arrays; nodes are positions among the sorted ids, so that their order is that of ids."""
+    a, b = table["a"].to_numpy(), table["b"].to_numpy()
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, a, b = len(ids), at[: len(a)], at[len(a) :]
+    s, d, w, two_m = np.concatenate([a, b]), np.concatenate([b, a]), np.ones(2 * len(a)), 2.0 * len(a)
+    member, label = np.arange(n), np.arange(n)
+    while n:
+        here = np.unique(s)
+        k, before = np.bincount(s, w, n), len(np.unique(label[here]))
+        far = s != d
+        label = _moves(ids, s[far], d[far], w[far], k, label, two_m, resolution)
+        inner = far & (label[s] == label[d])
+        part = _roots(s[inner], d[inner], n)
+        member = part[member]
+        key = part[s] * n + part[d]
+        order = np.argsort(key)
+        first = _first(key[order])
+        w = np.add.reduceat(w[order], first)
+        s, d = np.divmod(key[order][first], n)
+        # a part's nodes have one label, its first node's among them
+        if len(np.unique(part[here])) == before:
+            break
+    label = label[member]
+    inner = label[a] == label[b]
+    return {"id": ids, "label": ids[_roots(a[inner], b[inner], n)]}
