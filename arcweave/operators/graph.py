@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +15,8 @@ ROUNDS = 100
 #: Nodes of a frontier that a filter names, and visited nodes that the driver reads for a path, at most.
 FEW = 500
 WALK = 100_000
+#: Edges over which one task iterates: some 60 bytes each.
+HELD = 16_000_000
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -57,10 +60,30 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full").select("id", F.coalesce("out", none).alias("out"), F.coalesce("into", none).alias("into"))
 
 
+def _ranks(src: np.ndarray, dst: np.ndarray, rounds: int, tolerance: float | None, damping: float) -> dict:
+    """The same in memory."""
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, d, n = at[: len(src)], at[len(src) :], max(len(ids), 1)
+    degree = np.bincount(s, minlength=len(ids))
+    share, rank = 1.0 / degree[s], np.full(len(ids), 1.0 / n)
+    for _ in range(rounds if len(ids) else 0):
+        base = (1 - damping) / n + damping * rank[degree == 0].sum() / n
+        old, rank = rank, base + damping * np.bincount(d, rank[s] * share, len(ids))
+        if tolerance is not None and np.abs(rank - old).sum() < tolerance:
+            break
+    return {"id": ids, "pagerank": rank}
+
+
 def pagerank(edges: DataFrame, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(id, pagerank) by power iteration from the uniform vector; the rank of ids without out-edges spreads evenly. Ends when
-    the vector moves by less than tolerance in sum, or after `rounds`. Edges carry their source's out-degree and are written
-    by source once; a round is one join and one aggregation, and its change and dangling rank one small aggregate."""
+    the vector moves by less than tolerance in sum, or after `rounds`. The edges are made once. At most HELD of them are
+    iterated over by one task; more carry their source's out-degree, and a round is one join and one aggregation, and its
+    change and dangling rank one small aggregate."""
+    edges = storage.materialize(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")), "edges")
+    if edges.count() <= HELD:
+        out = storage.by_one([edges], lambda t: _ranks(t["src"].to_numpy(), t["dst"].to_numpy(), rounds, tolerance, damping), "id bigint, pagerank double", "rank")
+        storage.release(edges)
+        return out
     deg = edges.groupBy("src").agg(F.count("*").alias("n"))
     flow = storage.materialize(edges.join(deg, "src").select("src", "dst", (F.lit(1.0) / F.col("n")).alias("share")), "flow")
     ids = storage.materialize(vertices(edges).join(deg.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left"), "ids")
